@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from treelight.llm import bpe, exact_dedup, quality_rules, source_mix
+from treelight.llm import bpe, exact_dedup, minhash_dedup, quality_rules, source_mix
 from treelight.llm.common import table
 
 
@@ -26,7 +26,12 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(table(spark, sf_dir, "documents")).drop("source", "shard", "shard_quota")
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op4_minhash_dedup": op4_minhash_dedup,
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op9_bpe": op9_bpe,
