@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from treelight.llm import bpe, exact_dedup, minhash_dedup, quality_rules, source_mix
+from treelight.llm import bpe, exact_dedup, minhash_dedup, quality_rules, secret_scan, source_mix
 from treelight.llm.common import table
 
 
@@ -30,7 +30,12 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op3_secret_scan": op3_secret_scan,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality_rules": op2_quality_rules,
