@@ -53,3 +53,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/treelight/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bounded_sample(rows: DataFrame, key: str, most: int, seed: int) -> DataFrame:
+    """About `most` of the rows at any input size, chosen by a seeded hash of the key; all rows where there are no more."""
+    n = rows.select(key).count()
+    if n <= most:
+        return rows
+    return rows.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) < int((1 << 30) * most / n))

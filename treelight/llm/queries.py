@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from treelight.llm import bpe, exact_dedup, license_scan, minhash_dedup, quality_rules, secret_scan, source_mix
+from treelight.llm import bpe, exact_dedup, language_id, license_scan, minhash_dedup, quality_rules, secret_scan, source_mix
 from treelight.llm.common import table
 
 
@@ -38,7 +38,12 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op5_language_id": op5_language_id,
     "op8_license_scan": op8_license_scan,
     "op3_secret_scan": op3_secret_scan,
     "op4_minhash_dedup": op4_minhash_dedup,

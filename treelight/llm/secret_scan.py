@@ -8,7 +8,7 @@ touches the run, it becomes a span of kind ``model``.
 Labelled samples: the random strings are seeded draws from the alphabets that keys use (a rule, not a list), together
 with the values of base spans in a bounded sample of documents; the ordinary ones are runs of key characters outside
 base spans in the same sample, with letters in them and either no digits or parts joined as in identifiers. The sample is
-the SAMPLE_DOCS documents with the smallest seeded hash of their id, and of each the first SAMPLE_RUNS runs by hash; only
+about SAMPLE_DOCS documents chosen by a seeded hash of their id, and of each the first SAMPLE_RUNS runs by hash; only
 counts of character pairs leave the executors.
 
 Defined results: a null text counts as the empty text; a document without spans has zero counts, the digest of the empty
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treelight.llm.common import text_of
+from treelight.llm.common import bounded_sample, text_of
 
 KINDS = ("assign", "access", "hex", "model")
 #: Fixed patterns of the base. Matches that fail the length are dropped, but what they consumed stays consumed.
@@ -89,12 +89,7 @@ def ordinary(run: str) -> bool:
 
 def _sample_counts(docs: DataFrame, id_col: str, text_col: str, sample_docs: int) -> tuple[np.ndarray, np.ndarray]:
     """Pair counts of secret values and of ordinary runs in the sample; two small matrices come to the driver."""
-    sample = (
-        docs.select(text_of(text_col).alias("text"), F.xxhash64(F.lit(SAMPLE_SEED), F.col(id_col)).alias("order"))
-        .orderBy("order", F.octet_length("text"))
-        .limit(sample_docs)
-        .select("text")
-    )
+    sample = bounded_sample(docs, id_col, sample_docs, SAMPLE_SEED).select(text_of(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, _SIZE, _SIZE))
