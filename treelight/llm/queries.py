@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from treelight.llm import bpe, exact_dedup, language_id, license_scan, minhash_dedup, quality_rules, secret_scan, source_mix
+from treelight.llm import bpe, exact_dedup, language_id, license_scan, minhash_dedup, quality_rules, secret_scan, source_mix, toxicity
 from treelight.llm.common import table
 
 
@@ -42,7 +42,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op6_toxicity": op6_toxicity,
     "op5_language_id": op5_language_id,
     "op8_license_scan": op8_license_scan,
     "op3_secret_scan": op3_secret_scan,
