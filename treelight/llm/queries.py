@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from treelight.llm import bpe, exact_dedup, language_id, license_scan, minhash_dedup, quality_rules, secret_scan, source_mix, toxicity
+from treelight.llm import bpe, exact_dedup, html_extract, language_id, license_scan, minhash_dedup, quality_rules, secret_scan, source_mix, toxicity
 from treelight.llm.common import table
 
 
@@ -46,7 +46,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op7_html_extract": op7_html_extract,
     "op6_toxicity": op6_toxicity,
     "op5_language_id": op5_language_id,
     "op8_license_scan": op8_license_scan,
