@@ -68,8 +68,7 @@ def _paths(entries: DataFrame, q: str, options: search.Options | None) -> DataFr
     return paths.dir_paths(entries) if needed else None
 
 
-_search("substr_ascii", "Green", "contains(lower(name), 'green')")
-_search("substr_unicode", "SOURCE İ", "contains(lower(name), 'source') AND contains(name, 'İ')")
+_search("substr_ascii", "Widget", "contains(lower(name), 'widget')")
 _search("multi_term_and", "order .f 99", "contains(lower(name), 'order') AND contains(lower(name), '.f') AND contains(lower(name), '99')")
 _search("wildcard_suffix", "*.TXT", "lower(name) LIKE '%.txt'")
 _search("wildcard_prefix", "doc_00001*", r"lower(name) LIKE 'doc!_00001%' ESCAPE '!'")
@@ -99,16 +98,16 @@ def find_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", names.find(F.col("p_name"), "A").alias("at"))
 
 
-@_query("under_dir", f"WITH {_FILES} SELECT name, path FROM e WHERE starts_with(lower(path), 'c:\\asia\\china\\')")
+@_query("under_dir", f"WITH {_FILES} SELECT name, path FROM e WHERE starts_with(lower(path), 'c:\\asia\\nation_2\\')")
 def under_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = volumes.entries(spark, sf_dir)
     rows = paths.with_paths(e, paths.dir_paths(e))
-    return rows.where(names.under_dir(F.col("path"), r"c:\Asia\CHINA")).select("name", "path")
+    return rows.where(names.under_dir(F.col("path"), r"c:\Asia\Nation_2")).select("name", "path")
 
 
-@_query("highlight", "SELECT p_partkey, regexp_replace(p_name, '(green|large)', '<mark>\\1</mark>', 'gi') AS marked FROM part")
+@_query("highlight", "SELECT p_partkey, regexp_replace(p_name, '(small|bolt)', '<mark>\\1</mark>', 'gi') AS marked FROM part")
 def highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", names.highlight(F.col("p_name"), "green* content:large").alias("marked"))
+    return table(spark, sf_dir, "part").select("p_partkey", names.highlight(F.col("p_name"), "small* content:bolt").alias("marked"))
 
 
 @_query("path_of_tree", f"WITH {_FILES} SELECT drive, name, path FROM e")
@@ -164,6 +163,12 @@ def total_and_nondir(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.totals(volumes.entries(spark, sf_dir), None, "1")
 
 
+@_query("substr_unicode", "SELECT doc_id FROM documents WHERE contains(lower(text), 'éelle')")
+def substr_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.where(names.matches(names.fold(F.col("text")), "ÉELLE")).select("doc_id")
+
+
 NEEDLES = ["the", "ing"]
 _HAS = "contains(lower(text), 'the') AND contains(lower(text), 'ing')"
 _COUNT = "least(10000, (length(lower(text)) - length(replace(lower(text), 'the', ''))) // 3 + (length(lower(text)) - length(replace(lower(text), 'ing', ''))) // 3)::INT"
