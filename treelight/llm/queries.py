@@ -4,7 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from treelight.llm import bpe, exact_dedup, html_extract, language_id, license_scan, minhash_dedup, quality_rules, secret_scan, source_mix, toxicity
+from treelight.llm import (
+    bpe,
+    exact_dedup,
+    html_extract,
+    language_id,
+    license_scan,
+    minhash_dedup,
+    oracles,
+    quality_rules,
+    secret_scan,
+    source_mix,
+    toxicity,
+)
 from treelight.llm.common import table
 
 
@@ -64,15 +76,7 @@ QUERIES = {
 }
 
 ORACLES = {
-    "op1_exact_dedup": """
-        WITH n AS (
-            SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
-        ), h AS (SELECT doc_id, sha256(t) AS text_sha256 FROM n)
-        SELECT doc_id,
-               max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id,
-               count(*) OVER (PARTITION BY text_sha256) AS group_size,
-               doc_id = max(doc_id) OVER (PARTITION BY text_sha256) AS kept,
-               text_sha256
-        FROM h
-    """,
+    "op1_exact_dedup": oracles.EXACT_DEDUP,
+    "op2_quality_rules": oracles.quality(),
+    "op8_license_scan": oracles.licenses(),
 }
