@@ -77,3 +77,6 @@ def test_scan_files(spark, tmp_path):
     scanned = content.scan_files(wanted, files, ["budget"], most_bytes=400)
     assert [r["status"] for r in scanned.orderBy("slot").collect()] == ["match", "skipped_size", "binary", "match", "error"]
     assert tuple(content.scan_info(scanned).first()) == (2, 1, 1, 1, 2)
+    assert not content.timed_out(scanned)
+    late = content.scan_files(wanted, files, ["budget"], most_bytes=400, deadline=1.0)
+    assert content.timed_out(late) and tuple(content.scan_info(late).first()) == (0, 1, 0, 0, 0)

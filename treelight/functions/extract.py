@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import re
+import time
 import zipfile
 
 import pandas as pd
@@ -83,14 +84,17 @@ def office_text(data: bytes, extension: str) -> str | None:
     return "".join(parts) or None
 
 
-def extract_text(content: Column, extension: Column) -> Column:
-    """struct<status, text>: status is text, binary or error (null content or a broken container)."""
+def extract_text(content: Column, extension: Column, deadline: float | None = None) -> Column:
+    """struct<status, text>: status is text, binary, error (null content or a broken container), or not_scanned after the
+    deadline (seconds since the epoch), which is looked at before each row, so that a scan ends with what it has."""
 
     @F.pandas_udf("status string, text string")
     def run(contents: pd.Series, extensions: pd.Series) -> pd.DataFrame:
         rows = []
         for data, ext in zip(contents, extensions, strict=True):
-            if data is None:
+            if deadline is not None and time.time() > deadline:
+                rows.append(("not_scanned", None))
+            elif data is None:
                 rows.append(("error", None))
             elif (ext or "").lower() in MEMBERS:
                 text = office_text(bytes(data), ext)

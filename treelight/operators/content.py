@@ -73,12 +73,12 @@ def candidates(matched: DataFrame, most: int = MOST_CANDIDATES) -> DataFrame:
     return matched.orderBy("drive", "slot").limit(most).where("not is_dir")
 
 
-def scan_files(candidate_paths: DataFrame, files: DataFrame, needles: list[str], most_bytes: int, tasks: int = 4) -> DataFrame:
+def scan_files(candidate_paths: DataFrame, files: DataFrame, needles: list[str], most_bytes: int, tasks: int = 4, deadline: float | None = None) -> DataFrame:
     """candidate_paths: rows with path; files: Spark's binaryFile rows (path, length, content). Each candidate gets one status:
-    match, no_match, binary, skipped_size or error (absent or broken)."""
+    match, no_match, binary, skipped_size, error (absent or broken) or not_scanned (after the deadline)."""
     f = files.select(F.col("path").alias("f_path"), "length", F.when(F.col("length") <= most_bytes, F.col("content")).alias("content"))
     rows = candidate_paths.join(f, F.col("path") == F.col("f_path"), "left").repartition(tasks)
-    got = rows.withColumn("got", extract_text(F.col("content"), extension(F.col("path"))))
+    got = rows.withColumn("got", extract_text(F.col("content"), extension(F.col("path")), deadline))
     status = F.when(F.col("length") > most_bytes, F.lit("skipped_size")).otherwise(F.col("got.status"))
     ready = got.select(*candidate_paths.columns, status.alias("status"), F.col("got.text").alias("text"))
     return scan_text(ready, needles).drop("text")
@@ -96,6 +96,10 @@ def scan_info(scanned: DataFrame) -> DataFrame:
     )
 
 
+def timed_out(scanned: DataFrame) -> bool:
+    return not scanned.where("status = 'not_scanned'").isEmpty()
+
+
 def content_page(scanned: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     """Matches in index order, whatever sort was asked for."""
     return scanned.where("status = 'match'").orderBy("drive", "slot").offset(offset).limit(limit)
