@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treelight.sources.shared import written  # noqa: F401  the operators take it from here
+
 #: White space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
@@ -36,25 +35,6 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS), "")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here where there is none (tests)."""
-    sc = spark.sparkContext
-    kept = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not kept:
-        kept = tempfile.mkdtemp(prefix="treelight-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(kept)
-    return kept
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends here, and losing an executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/treelight/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bounded_sample(rows: DataFrame, key: str, most: int, seed: int) -> DataFrame:
     """About `most` of the rows at any input size, chosen by a seeded hash of the key; all rows where there are no more."""
     n = rows.select(key).count()
