@@ -1,8 +1,11 @@
 import json
 
+import pytest
+
 from treelight.operators.replay import Volume, replay
 from treelight.sources import usn
 from treelight.streaming.changes import live_entries
+from treelight.streaming.supervisor import JournalGone, supervise
 
 SCHEMA = "drive string, usn long, op string, frn long, parent_frn long, name string, is_dir boolean"
 
@@ -63,3 +66,28 @@ def test_resume():
     assert usn.resume((7, 500), (8, 100, 900)) is None
     assert usn.resume((7, 50), live) is None
     assert usn.resume((7, 5000), live) == (7, 900)
+
+
+def test_enumeration_buffer():
+    buffer = (12345).to_bytes(8, "little") + usn.pack(100, 5, 1, 0, usn.ATTRIBUTE_DIRECTORY, "dir") + usn.pack(101, 100, 2, 0, 0, "f.txt") + b"\0" * 16
+    assert [(r[0], r[1], r[5]) for r in usn.records(buffer, 8)] == [(100, 5, "dir"), (101, 100, "f.txt")]
+
+
+def test_supervisor():
+    waits, outcomes = [], iter([OSError("busy"), OSError("busy"), JournalGone("gone"), None])
+
+    def run(rebuild):
+        seen.append(rebuild)
+        x = next(outcomes)
+        if x:
+            raise x
+
+    seen: list[bool] = []
+    supervise(run, sleep=waits.append)
+    assert seen == [False, False, False, True] and waits == [2.0, 2.0, 2.0]
+    with pytest.raises(PermissionError):
+        supervise(lambda rebuild: (_ for _ in ()).throw(PermissionError()), sleep=waits.append)
+    waits.clear()
+    with pytest.raises(OSError, match="still"):
+        supervise(lambda rebuild: (_ for _ in ()).throw(OSError("still")), sleep=waits.append)
+    assert len(waits) == 10

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treelight.functions import fold as names
+from treelight.functions.extract import extract_text
 from treelight.operators import content, paths, replay
 from treelight.plans import search
 from treelight.sources import usn, volumes
@@ -311,6 +312,37 @@ def usn_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["usn_decode"] = f"""SELECT event_id AS usn, {_OP} AS op, 100 + user_id AS frn, CASE WHEN user_id % 5 = 0 THEN 5 ELSE 100 + user_id - user_id % 5 END AS parent_frn,
   'user_' || user_id || '_' || event_id AS name, user_id % 5 = 0 AS is_dir FROM events WHERE {_OP} IS NOT NULL"""
 
+@_query("office_extract", "SELECT doc_id, 'text' AS status, text FROM documents WHERE text <> ''")
+def office_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document put into an office container by the executors, and taken out again."""
+
+    def pack(batches):
+        import io
+        import zipfile
+        from xml.sax.saxutils import escape
+
+        for b in batches:
+            out = []
+            for text in b["text"]:
+                f = io.BytesIO()
+                with zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
+                    z.writestr("word/document.xml", f"<w:document><w:p>{escape(text)}</w:p></w:document>")
+                out.append(f.getvalue())
+            b["content"] = out
+            yield b[["doc_id", "content"]]
+
+    packed = _docs(spark, sf_dir).where("text <> ''").mapInPandas(pack, "doc_id long, content binary")
+    return packed.select("doc_id", extract_text(F.col("content"), F.lit("docx")).alias("got")).select("doc_id", "got.*")
+
+
+@_query("utf16_decode", "SELECT doc_id, 'text' AS status, text FROM documents WHERE text IS NOT NULL")
+def utf16_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even ids as UTF-16 little-endian, odd ones as big-endian, with byte-order marks."""
+    text = F.col("text")
+    data = F.when(F.col("doc_id") % 2 == 0, F.concat(F.unhex(F.lit("FFFE")), F.encode(text, "UTF-16LE"))).otherwise(F.concat(F.unhex(F.lit("FEFF")), F.encode(text, "UTF-16BE")))
+    return _docs(spark, sf_dir).where("text is not null").select("doc_id", extract_text(data, F.lit("txt")).alias("got")).select("doc_id", "got.*")
+
+
 _DELETED = "slot % 7 = 3"
 
 
