@@ -13,7 +13,7 @@ from treelight.llm import bpe, html_extract, language_id, minhash_dedup, secret_
 
 SF = "/root/testdata/sf0.01"
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-ODD = [(1, None), (2, ""), (3, " \n\t"), (4, "word"), (4, "word"), (5, "Ünï 😀 İ " * 3), (6, "x" * 200_000), (7, "1234 !?")]
+ODD = [(1, None), (2, ""), (3, " \n\t"), (4, "word"), (4, "word"), (5, "Ünï 😀 İ " * 3), (6, "x" * 200_000), (7, "1234 !?"), (None, "no id here")]
 
 
 @pytest.fixture(scope="module")
@@ -148,6 +148,8 @@ def test_near_dedup(spark):
     want = brute_classes(rows)
     assert {r["doc_id"]: r["class_id"] for r in got} == want
     assert len(got) == len(rows)
+    assert {(r["doc_id"], r["class_size"]) for r in minhash_dedup.near_dedup(frame.limit(3).union(spark.createDataFrame([(None, "a b c d e f", "k", 0)] * 2, frame.schema))).where("class_id is null").collect()} == {(None, 2)}
+    assert minhash_dedup.near_dedup(frame.limit(0)).count() == 0
     kept = minhash_dedup.keep_one(frame)
     assert kept.columns == frame.columns and {r["doc_id"] for r in kept.collect()} == set(want.values())
 
@@ -169,7 +171,7 @@ def test_bpe_equals_the_library(spark, odd):
     draw = random.Random(8)
     parts = ["a", "ing", " the", "  ", "\n", "é", "'s", "1", "?!", "<|endoftext|>", "😀", "　", "zz", "---", "\x1c"]
     texts = ["".join(draw.choices(parts, k=draw.randint(0, 80))) for _ in range(200)] + ["ab" * 5000, "aeinrst" * 900, " " * 3000]
-    frame = spark.createDataFrame([*((100 + i, t) for i, t in enumerate(texts)), *ODD], "doc_id long, text string")
+    frame = spark.createDataFrame([*((100 + i, t) for i, t in enumerate(texts)), *ODD[:-1]], "doc_id long, text string")
     for r in bpe.encode_table(frame, VOCABULARY, with_ids=True).join(frame.distinct(), "doc_id").collect():
         ids = library.encode(r["text"] or "", add_special_tokens=False).ids
         assert r["token_ids"] == ids and r["n_tokens"] == len(ids)

@@ -179,7 +179,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """One row per row of docs: doc_id, held_out, lang_pred, score."""
     model = model or train(docs, id_col, text_col, label_col)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(id_col).alias("doc_id"), (fold(id_col) == 0).alias("held_out"), text_of(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(fold(id_col) == 0, F.lit(False)).alias("held_out"), text_of(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

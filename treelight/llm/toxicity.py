@@ -231,7 +231,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """One row per row of docs: doc_id, held_out, score, predicted."""
     grammar = grammar or train(docs, labels, id_col, text_col, label_col)
     sent = docs.sparkSession.sparkContext.broadcast((grammar.weights, grammar.coefficients))
-    rows = docs.select(F.col(id_col).alias("doc_id"), (fold(id_col) == HELD_OUT).alias("held_out"), text_of(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(fold(id_col) == HELD_OUT, F.lit(False)).alias("held_out"), text_of(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
