@@ -104,7 +104,10 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.lit(0),
         lambda a, x: a + x,
     )
-    return repeated.withColumn("n_repeat_words", covered.cast("long")).drop("at")
+    counted = repeated.withColumn("n_repeat_words", covered.cast("long")).drop("at")
+    # numbering rows keeps later filters above this projection; pushed below it, they would compute every count once for each use
+    counts = F.struct(*[c for c in counted.columns if c != "doc_id"])
+    return counted.select("doc_id", F.when(F.monotonically_increasing_id() >= 0, counts).alias("m")).select("doc_id", "m.*")
 
 
 def base_failed() -> Column:
@@ -138,6 +141,4 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] | None = None) -> DataFrame:
     """The rows of docs that pass, with all their columns. The row travels through the projection beside the counts."""
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_row"), F.col(text_col).alias("doc_text"))
-    judged = quality(row, "doc_row", "doc_text", rules).select("doc_id", "kept", F.monotonically_increasing_id().alias("held"))
-    # a filter isn't pushed through a projection that numbers rows; pushed down, it would compute every count once for each use
-    return judged.where("kept and held >= 0").select("doc_id.*")
+    return quality(row, "doc_row", "doc_text", rules).where("kept").select("doc_id.*")
