@@ -80,11 +80,11 @@ def apportion(cells: DataFrame, group: list[str], key: list[str], weight: str, s
     ).when(
         (F.col("missing") < 0) & (F.col("base") > 0), F.sequence(F.greatest(F.lit(0), F.col("base") - 1 - reach), F.col("base") - 1)
     )
-    steps = rows.select(*group, *key, weight, "missing", F.explode(up).alias("k"))
-    quotient = F.col(weight) / (2 * F.col("k") + 1)
+    steps = rows.select(*group, *key, weight, "missing", F.explode(up).alias("nth"))
+    quotient = F.col(weight) / (2 * F.col("nth") + 1)
     sign = F.when(F.col("missing") > 0, F.lit(-1)).otherwise(F.lit(1))
     ties = [F.col(c).asc_nulls_last() for c in key]
-    order = (Window.partitionBy(*[F.col(c) for c in group]) if group else Window.partitionBy(F.lit(1))).orderBy(sign * quotient, *ties, "k")
+    order = (Window.partitionBy(*[F.col(c) for c in group]) if group else Window.partitionBy(F.lit(1))).orderBy(sign * quotient, *ties, "nth")
     moved = (
         steps.withColumn("r", F.row_number().over(order))
         .where(F.col("r") <= F.abs("missing"))
