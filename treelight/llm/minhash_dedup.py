@@ -8,10 +8,13 @@
    latest of all registers, which ends most after one or two arrivals. Two documents agree in a register
    with a probability equal to their probability Jaccard similarity.
 3. Banding: BANDS keys of ROWS registers each. Documents that share a key are candidates. In each bucket only the
-   smallest id is paired with the others (a star), then classes are formed, and only then are members of a bucket that
-   ended up in different classes paired across these classes. So pairs that are linked through the star are never listed.
-4. Verification: the shingles of both sides decide; a pair is linked where the Jaccard similarity of the shingle sets or
-   the probability Jaccard similarity of the weighted ones is 0.8 or more.
+   smallest id is paired with the others (a star), then classes are formed. Buckets that still hold several classes pair
+   the members outside the largest class with its hub, the member with the highest mean similarity so far. What is then
+   still apart is paired by prefix filtering: two sets with a Jaccard similarity of at least t share one of the
+   (1 - t) n + 1 first shingles of each, in any common order; in order of rising frequency, texts that differ too much
+   have only shingles of their own there and meet nobody. So no link between candidates is lost, and pairs inside a class
+   or of the crowd around a class aren't listed.
+4. Verification: a pair is linked where the Jaccard similarity of the sets of shingles is 0.8 or more.
 5. Classes are the connected components of the links, found by least labels and pointer jumping, each round written
    to the shared folder.
 
@@ -109,23 +112,12 @@ def band_keys(registers: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mix64(keys + np.arange(1, bands + 1, dtype=np.uint64) * _GOLDEN)
 
 
-def similarity(a: np.ndarray, wa: np.ndarray | None, b: np.ndarray, wb: np.ndarray | None) -> float:
-    """The larger of the Jaccard similarity and the probability Jaccard similarity of two sorted sets; no weights: all 1."""
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted arrays without repeats; 0 if one is empty."""
     if not len(a) or not len(b):
         return 0.0
-    common, ia, ib = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    plain = len(common) / (len(a) + len(b) - len(common))
-    if wa is None and wb is None or not len(common):
-        return plain
-    wa = np.ones(len(a)) if wa is None else wa
-    wb = np.ones(len(b)) if wb is None else wb
-    # sum over common d of 1 / sum over x of max(wa_x / wa_d, wb_x / wb_d): x in order of wb_x / wa_x
-    only_a, only_b = wa.sum() - wa[ia].sum(), wb.sum() - wb[ib].sum()
-    x, y = wa[ia], wb[ib]
-    order = np.argsort(y / x, kind="stable")
-    x, y = x[order], y[order]
-    low, high = only_a + np.cumsum(x), only_b + y.sum() - np.cumsum(y)
-    return max(plain, float((1 / (low / x + high / y)).sum()))
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / (len(a) + len(b) - common)
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
@@ -165,20 +157,19 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int,
 
 
 def _contents(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """id, h (hashes of the shingles, HASH_BYTES each), w (weights as 32-bit floats; null where all are 1) of the documents in ids."""
-    chosen = docs.join(ids.select(F.col("id").alias("chosen_id")), F.col(id_col) == F.col("chosen_id"), "left_semi")
+    """id and h (hashes of the shingles in order, HASH_BYTES each) of the documents in ids."""
+    chosen = docs.hint("merge").join(ids.select(F.col("id").alias("chosen_id")), F.col(id_col) == F.col("chosen_id"), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk_ids, words, starts in _chunks(batch):
-                sets, weights = weighted_sets(*shingles(words, starts, k))
+                sets, _ = weighted_sets(*shingles(words, starts, k))
                 h = [np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, 8 - HASH_BYTES :]).tobytes() for s in sets]
-                w = [None if (x == 1).all() else x.astype(np.float32).tobytes() for x in weights]
-                yield pa.RecordBatch.from_arrays([chunk_ids, pa.array(h, pa.binary()), pa.array(w, pa.binary())], names=["id", "h", "w"])
+                yield pa.RecordBatch.from_arrays([chunk_ids, pa.array(h, pa.binary())], names=["id", "h"])
 
     rows = _hashed_words(chosen, id_col, text_col)
     id_type = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {id_type}, h binary, w binary")
+    return rows.mapInArrow(run, f"id {id_type}, h binary")
 
 
 def _unpacked(h: bytes) -> np.ndarray:
@@ -189,22 +180,45 @@ def _unpacked(h: bytes) -> np.ndarray:
 
 def _verified(pairs: DataFrame, contents: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose similarity reaches the threshold, with it."""
-    left = contents.select(F.col("id").alias("a"), F.col("h").alias("ha"), F.col("w").alias("wa"))
-    right = contents.select(F.col("id").alias("b"), F.col("h").alias("hb"), F.col("w").alias("wb"))
-    rows = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "ha", "wa", "hb", "wb")
+    left = contents.select(F.col("id").alias("a"), F.col("h").alias("ha"))
+    right = contents.select(F.col("id").alias("b"), F.col("h").alias("hb"))
+    rows = pairs.select("a", "b").hint("merge").join(right, "b").hint("merge").join(left, "a").select("a", "b", "ha", "hb")
     id_type = pairs.schema["a"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = lambda x: None if x is None else np.frombuffer(x, np.float32).astype(float)
         for batch in batches:
-            ha, wa, hb, wb = (batch.column(c).to_pylist() for c in ("ha", "wa", "hb", "wb"))
-            found = np.array([similarity(_unpacked(p), weights(q), _unpacked(r), weights(s)) for p, q, r, s in zip(ha, wa, hb, wb, strict=True)], float)
+            ha, hb = batch.column("ha").to_pylist(), batch.column("hb").to_pylist()
+            found = np.array([similarity(_unpacked(x), _unpacked(y)) for x, y in zip(ha, hb, strict=True)], float)
             out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found)], names=["a", "b", "similarity"])
             yield out.filter(pa.array(found >= threshold))
 
     return rows.mapInArrow(run, f"a {id_type}, b {id_type}, similarity double")
 
 
+def _prefixes(contents: DataFrame, threshold: float) -> DataFrame:
+    """id, n (shingles), token and before (shingles before it): of each prefix, in order of rising frequency, the shingles
+    that another document has too.
+
+    Shingles that no other document has stand first in that order, so they take their places without being listed.
+    """
+    id_type = contents.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("id")
+            for i, value in enumerate(batch.column("h")):
+                h = _unpacked(value.as_py())
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.full(len(h), i))), pa.array(np.full(len(h), len(h))), pa.array(h.view(np.int64))], names=["id", "n", "token"])
+
+    tokens = written(contents.select("id", "h").mapInArrow(run, f"id {id_type}, n bigint, token bigint"), "tokens")
+    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    shared = tokens.join(often, "token").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("tokens"))
+    own = F.col("n") - F.size("tokens")
+    length = F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1 - own
+    listed = shared.select("id", "n", own.alias("own"), F.posexplode(F.slice("tokens", F.lit(1), F.greatest(length, F.lit(0)).cast("int"))).alias("at", "x"))
+    return listed.select("id", "n", F.col("x.token").alias("token"), (F.col("own") + F.col("at")).alias("before"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """id, class: the least id of each connected component of links (a, b); a row for each id in a link."""
     both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
@@ -221,6 +235,21 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _apart(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, id, label, main (the label of the bucket's largest class) of the members of buckets with several classes."""
+    labelled = shared.join(labels.withColumnRenamed("class", "label"), "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    labelled = written(labelled, "labelled")
+    mixed = (
+        labelled.groupBy("key", "label")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("key")
+        .agg(F.max(F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("n_labels"))
+        .where("n_labels > 1")
+        .select("key", F.col("most.label").alias("main"))
+    )
+    return written(labelled.join(mixed, "key"), "mixed")
+
+
 def _ordered(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -237,10 +266,10 @@ def near_dedup(
     """One row per row of docs: doc_id, class_id (the least id of its class), copy_of (the least id with equal shingles),
     n_links (verified links of that id to others), class_size, kept (doc_id is class_id).
 
-    Ids must not be null. Links are those that were verified; pairs already in one class through others aren't tested.
+    Rows with a null id take no part and share the null class. Links are those that were verified; pairs already in one class through others aren't tested.
     """
     signed = written(_signatures(docs, id_col, text_col, words, bands, rows), "signatures")
-    copies = signed.where("digest is not null").groupBy("digest").agg(F.min("id").alias("copy_of"))
+    copies = signed.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("copy_of"))
     chosen = copies.select(F.col("copy_of").alias("id")).distinct()
     members = written(
         signed.where("digest is not null")
@@ -252,34 +281,48 @@ def near_dedup(
     buckets = written(members.groupBy("key").agg(F.min("id").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     shared = members.join(buckets, "key")
     stars = written(shared.where("id <> center").select(*_ordered(F.col("center"), F.col("id"))).distinct(), "stars")
-    ends = lambda pairs: pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    contents = written(_contents(docs, ends(stars), id_col, text_col, words), "contents")
+    ends = stars.select(F.col("a").alias("id")).union(stars.select(F.col("b").alias("id"))).distinct()
+    contents = written(_contents(docs, ends, id_col, text_col, words), "contents")
     links = written(_verified(stars, contents, threshold), "star-links")
-    labels = components(links)
-    # members of a bucket in different classes: all outside its largest class against those of other classes
-    labelled = shared.join(labels.withColumnRenamed("class", "label"), "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-    labelled = written(labelled, "labelled")
-    mixed = (
-        labelled.groupBy("key", "label")
-        .agg(F.count(F.lit(1)).alias("n"))
+
+    # buckets of three or more with several classes: members outside the largest one against its hub
+    shared = shared.where("n > 2")
+    inside = _apart(shared, components(links))
+    both_ways = links.select(F.col("a").alias("c_id"), "similarity").union(links.select(F.col("b").alias("c_id"), "similarity"))
+    closeness = both_ways.groupBy("c_id").agg(F.avg("similarity").alias("near"))
+    hubs = (
+        inside.where("label = main")
+        .join(closeness, F.col("id") == F.col("c_id"), "left")
         .groupBy("key")
-        .agg(F.max(F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("n_labels"))
-        .where("n_labels > 1")
-        .select("key", F.col("most.label").alias("main"))
+        .agg(F.max(F.struct(F.coalesce("near", F.lit(0.0)), "id"))["id"].alias("hub"))
+    )
+    spokes = inside.where("label <> main").join(hubs, "key").select(*_ordered(F.col("hub"), F.col("id"))).distinct()
+    spokes = written(spokes.join(stars, ["a", "b"], "left_anti"), "spokes")
+    links = links.union(written(_verified(spokes, contents, threshold), "hub-links"))
+
+    # what is still apart: prefix filtering among the members of such buckets, at least one of the pair outside the largest class
+    inside = _apart(shared, components(links))
+    members_apart = written(inside.groupBy("id", "label").agg(F.max(F.col("label") != F.col("main")).alias("outside")), "apart")
+    prefixes = written(_prefixes(contents.hint("merge").join(members_apart.select("id"), "id", "left_semi"), threshold).join(members_apart, "id"), "prefixes")
+    other = prefixes.select(F.col("id").alias("o_id"), F.col("n").alias("o_n"), F.col("label").alias("o_label"), F.col("before").alias("o_before"), "token").where("outside")
+    # what stands before the first common shingle isn't common: it bounds the overlap that the threshold asks for
+    asked = threshold / (1 + threshold) * (F.col("n") + F.col("o_n")) - 1e-9
+    cross = (
+        prefixes.join(other, "token")
+        .where("label <> o_label and (not outside or id < o_id)")
+        .where(F.least(F.col("n") - F.col("before"), F.col("o_n") - F.col("o_before")) >= asked)
+        .select(*_ordered(F.col("id"), F.col("o_id")))
+        .distinct()
     )
-    inside = written(labelled.join(mixed, "key"), "mixed")
-    outside = inside.where("label <> main").select("key", F.col("id").alias("o_id"), F.col("label").alias("o_label"))
-    cross = inside.join(outside, "key").where("label <> o_label and (label = main or id < o_id)").select(*_ordered(F.col("id"), F.col("o_id"))).distinct()
-    cross = written(cross.join(stars, ["a", "b"], "left_anti"), "cross")
-    more = written(_verified(cross, contents, threshold), "cross-links")
-    links = links.union(more).select("a", "b").distinct()
+    cross = written(cross.join(stars, ["a", "b"], "left_anti").join(spokes, ["a", "b"], "left_anti"), "cross")
+    links = links.union(written(_verified(cross, contents, threshold), "cross-links")).select("a", "b").distinct()
     labels = components(links)
     degrees = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     copies = copies.join(labels, copies["copy_of"] == labels["id"], "left").drop("id")
     copies = copies.join(degrees, copies["copy_of"] == degrees["id"], "left").select(
         "digest", "copy_of", F.coalesce("class", "copy_of").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
-    placed = signed.select("id", "digest").join(copies, "digest", "left")
+    placed = signed.select("id", F.when(F.col("id").isNotNull(), F.col("digest")).alias("digest")).join(copies, "digest", "left")
     placed = written(
         placed.select(
             "id",
@@ -290,8 +333,9 @@ def near_dedup(
         "classes",
     )
     sizes = placed.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
-    return placed.join(sizes, "class_id").select(
-        F.col("id").alias("doc_id"), "class_id", "copy_of", "n_links", "class_size", (F.col("id") == F.col("class_id")).alias("kept")
+    sizes = sizes.withColumnRenamed("class_id", "s_id")
+    return placed.join(sizes, F.col("class_id").eqNullSafe(F.col("s_id"))).select(
+        F.col("id").alias("doc_id"), "class_id", "copy_of", "n_links", "class_size", F.col("id").eqNullSafe(F.col("class_id")).alias("kept")
     )
 
 
