@@ -94,7 +94,7 @@ def dedup_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.xxhash64(ascii_lower(F.substring(text, 1, prefix_chars))).alias("prefix"),
         F.sha2(ascii_lower(text), 256).alias("digest"),
     )
-    rows = keyed.join(groups, ["len", "prefix", "digest"], "left").where("group_size is null or id <=> keep_id")
+    rows = keyed.hint("merge").join(groups, ["len", "prefix", "digest"], "left").where("group_size is null or id <=> keep_id")
     if not groups.where("keep_rows > 1").isEmpty():
         once = rows.where("coalesce(keep_rows, 1) = 1")
         rows = once.unionByName(rows.where("keep_rows > 1").dropDuplicates(["digest"]))
