@@ -154,6 +154,17 @@ def test_near_dedup(spark):
     assert kept.columns == frame.columns and {r["doc_id"] for r in kept.collect()} == set(want.values())
 
 
+def test_near_dedup_with_repeated_lines(spark):
+    """Near copies of which one repeats a passage 50 or 300 times: every pair is found."""
+    rows = []
+    for i in range(60):
+        words = [f"p{i}w{j}" for j in range(104)]
+        repeated = words + words[:34] * (50 if i % 2 else 300) + [f"p{i}end{j}" for j in range(12)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(repeated))]
+    got = minhash_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == {d: d - d % 2 for d, _ in rows}
+
+
 def test_prob_minhash_estimates_probability_jaccard():
     import numpy as np
 

@@ -1,9 +1,10 @@
-"""Near-duplicate detection by ProbMinHash over weighted word shingles, banding and verification.
+"""Near-duplicate detection by ProbMinHash over sets of word shingles, banding and verification.
 
-1. Words (JVM) are hashed; every five in a row make a shingle; a shingle's weight is 1 + ln(times it occurs).
-   Documents with equal shingles are copies of each other: the smallest id stands for them from here on, so copies
-   cost nothing below, however many there are.
-2. ProbMinHash: each shingle is a Poisson process with its weight as rate. Its arrivals go to registers at random; a
+1. Words (JVM) are hashed; every five in a row make a shingle. Documents with the same shingles the same number of times
+   are copies of each other: the smallest id stands for them from here on, so copies cost nothing below, however many
+   there are.
+2. ProbMinHash: each shingle is a Poisson process with its weight as rate. Every weight is 1, however often a text repeats the
+   shingle, because links are defined by sets: so the probability Jaccard similarity is the Jaccard similarity of the sets. Its arrivals go to registers at random; a
    register keeps the shingle of its earliest arrival. A shingle is done once its next arrival is later than the
    latest of all registers, which ends most after one or two arrivals. Two documents agree in a register
    with a probability equal to their probability Jaccard similarity.
@@ -18,7 +19,7 @@
 5. Classes are the connected components of the links, found by least labels and pointer jumping, each round written
    to the shared folder.
 
-With 24 bands of 5, a pair at exactly 0.8 is a candidate with probability 1 - (1 - 0.8^5)^24 = 0.99993.
+With 24 bands of 5, a pair at exactly 0.8 is a candidate with probability 1 - (1 - 0.8^5)^24 = 0.99993, whatever the counts.
 Shuffles move keys and ids for all documents; texts move only for documents that are in a candidate pair.
 
 Defined results: a null text counts as the empty text; a text without words has no shingles and is in a class of its own;
@@ -73,14 +74,14 @@ def shingles(words: np.ndarray, starts: np.ndarray, k: int = WORDS) -> tuple[np.
     return mix64(h + _GOLDEN), out_starts
 
 
-def weighted_sets(h: np.ndarray, starts: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each document its different shingles in order and their weights."""
-    sets, weights = [], []
+def counted_sets(h: np.ndarray, starts: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each document its different shingles in order and how often each occurs."""
+    sets, counts = [], []
     for a, b in zip(starts[:-1], starts[1:], strict=True):
         s, n = np.unique(h[a:b], return_counts=True)
         sets.append(s)
-        weights.append(1 + np.log(n))
-    return sets, weights
+        counts.append(n)
+    return sets, counts
 
 
 def prob_minhash(sets: list[np.ndarray], weights: list[np.ndarray], m: int) -> np.ndarray:
@@ -139,15 +140,15 @@ def _hashed_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _signatures(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int, rows: int) -> DataFrame:
-    """id, digest (of all shingles and weights; null without words), keys (one for each band)."""
+    """id, digest (of all shingles and counts; null without words), keys (one for each band)."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, words, starts in _chunks(batch):
-                sets, weights = weighted_sets(*shingles(words, starts, k))
-                keys = band_keys(prob_minhash(sets, weights, bands * rows), bands, rows)
-                digests = [xxhash.xxh3_128_digest(s.tobytes() + w.tobytes()) if len(s) else None for s, w in zip(sets, weights, strict=True)]
+                sets, counts = counted_sets(*shingles(words, starts, k))
+                keys = band_keys(prob_minhash(sets, [np.ones(len(s)) for s in sets], bands * rows), bands, rows)
+                digests = [xxhash.xxh3_128_digest(s.tobytes() + n.tobytes()) if len(s) else None for s, n in zip(sets, counts, strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), pa.array(keys.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(digests, pa.binary()), lists], names=["id", "digest", "keys"])
 
@@ -163,7 +164,7 @@ def _contents(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk_ids, words, starts in _chunks(batch):
-                sets, _ = weighted_sets(*shingles(words, starts, k))
+                sets, _ = counted_sets(*shingles(words, starts, k))
                 h = [np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, 8 - HASH_BYTES :]).tobytes() for s in sets]
                 yield pa.RecordBatch.from_arrays([chunk_ids, pa.array(h, pa.binary())], names=["id", "h"])
 
