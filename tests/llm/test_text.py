@@ -111,6 +111,17 @@ def test_html(spark):
     assert [(r["text"], r["n_chars"]) for r in got] == [("", 0), ("", 0), ("a < b", 5), ("deep", 4)]
 
 
+def test_html_surges_decide_on_marked_pages():
+    story = "A long story that fills its lines. " * 6
+    card = "<article><p>Teaser.</p></article>"
+    assert html_extract.main_text(f"<main><p>{story}</p></main><aside>x</aside>{card}") == f"{story}Teaser."
+    assert html_extract.main_text(f"<div><p>{story}</p></div>{card}<p>Posted by us</p>") == f"{story}Teaser."
+    links = "<div class=ad></div><ul><li><a href=a>One</a></li><li><a href=b>Two</a></li></ul>"
+    assert html_extract.main_text(f"<article><p>{story}</p>{links}</article>") == story.strip()
+    long_links = "<div class=ad></div><p><a href=a>" + "Linked words are text too. " * 4 + "</a></p>"
+    assert html_extract.main_text(f"<article><p>{story}</p>{long_links}</article>").endswith("text too.")
+
+
 def brute_classes(rows):
     sets, parent = [], list(range(len(rows)))
 
