@@ -105,6 +105,27 @@ def test_licenses(spark, odd):
     assert license_scan.license_scan(odd.limit(0)).count() == 0
 
 
+def test_licenses_without_line_breaks(spark):
+    one_line = " ".join(license_scan._MIT_BODY.split())
+    bsd = " ".join((license_scan._BSD_HEAD + license_scan._BSD_TAIL).split())
+    rows = [
+        (1, "Copyright (c) 2020 Foo " + one_line),
+        (2, "MIT License Copyright (c) 2020 Foo, Inc. " + one_line),
+        (3, "Copyright 2019-2021 J. R. Doe <j@doe.org>. All rights reserved. " + bsd),
+        (4, "Copyright (c) 2021 Foo. Released under the MIT License."),
+        (5, "// Copyright Foo 2021, MIT License"),
+        (6, "Copyright (c) 2021 Foo, Inc. All rights reserved.\n" + one_line),
+        (7, "Copyright (c) 2021 MIT Licensing Board\n" + one_line),
+        (8, "\u00a9 2020 Foo. SPDX-License-Identifier: MIT"),
+    ]
+    got = {r["doc_id"]: r for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i]["license_id"] for i in range(1, 9)] == ["MIT", "MIT", "BSD-2-Clause", "MIT", "MIT", "MIT", "MIT", "MIT"]
+    assert [got[i]["notice_ids"] for i in (4, 5, 8)] == ["MIT"] * 3
+    own = [("Own", "Do as you like with these words, friend.")]
+    line = spark.createDataFrame([(1, "Copyright (c) 2020 Foo. Do as you like with these words, friend.")], "doc_id long, text string")
+    assert license_scan.license_scan(line, texts=own).first()["license_id"] == "Own"
+
+
 def brute_targets(sizes):
     order = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [s for s in sizes if s is None]
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}

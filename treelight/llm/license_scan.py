@@ -1,6 +1,7 @@
 """License scans by canonical digests: entire texts are normalised, hashed and joined with the digests of known licences.
 
-Normalising lower-cases, spells equivalent words alike, drops copyright lines, turns every run of other characters than
+Normalising lower-cases, spells equivalent words alike, drops copyright lines (where a known text or notice follows on the same
+line, only the statement before it), turns every run of other characters than
 letters and digits into one space, and trims. The same SQL expressions normalise the known texts and the documents, so
 both sides agree by construction. Short notices (a line such as "Released under the MIT License.") are
 looked up in the same way, each line of a document as a text of its own.
@@ -15,6 +16,7 @@ rows give equal rows; an empty table gives an empty result; other columns are ig
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -132,9 +134,42 @@ def notices() -> list[tuple[str, str]]:
 COPYRIGHT_LINE = r"(?m)^[^\n\p{L}\p{N}©]*(portions )?(copyright|©|\(c\))[^\n]*(\d{4}|©|\(c\)|all rights reserved)[^\n]*$|(?m)^[^\n\p{L}\p{N}]*all rights reserved[^\n]*$"
 
 
-def canonical(text: Column) -> Column:
-    """The normalised text."""
-    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
+#: So many words of a known text count as its opening.
+OPENING_WORDS = 4
+#: Where the long licences go on after the copyright statements inside them.
+FURTHER_OPENINGS = ["Everyone is permitted to copy", "This program is free software", "This library is free software"]
+#: How far from a copyright statement's year or sign a known text may begin.
+HOLDER_CHARS = 300
+
+
+def openings(texts: list[tuple[str, str]] | None = None) -> str:
+    """A pattern on lower-case text: where a known text (the caller's, if given) or a notice begins; mere names only after punctuation."""
+    known = [t for _, t in (TEXTS if texts is None else texts)] + FURTHER_OPENINGS + PHRASES
+    names = [n for _, n in NAMES] + ["SPDX-License-Identifier"]
+    split = [re.findall(r"[^\W_]+", t.lower())[:OPENING_WORDS] for t in known]
+
+    def pattern(words: list[str]) -> str:
+        return r"[^\p{L}\p{N}\n]+".join(re.sub("licen[sc]e", "licen[sc]e", w) for w in words)
+
+    long = sorted({pattern(w) for w in split if len(w) > 1})
+    short = sorted({pattern(w) for w in [*(re.findall(r"[^\W_]+", n.lower()) for n in names), *split] if w and pattern(w) not in long})
+    return rf"(?<=[^\p{{L}}\p{{N}}])(?:{'|'.join(long)}|(?<=[.,;:|)] )(?:the )?(?:{'|'.join(short)}))(?![\p{{L}}\p{{N}}])"
+
+
+#: A copyright statement up to its year or sign, on lower-case text: at the beginning of a line, or with the year or sign next to the word.
+_STATEMENT = (
+    r"(?:(?m:^)[^\n\p{L}\p{N}©]*(?:portions )?copyright[^\n]{0,120}?\d{4}"
+    r"|(?<![\p{L}\p{N}])(?:portions )?(?:(?:(?:copyright|©|\(c\))[ \t:,]*)+\d{4}|copyright[ \t:]*(?:©|\(c\))|©))"
+)
+
+
+def canonical(text: Column, texts: list[tuple[str, str]] | None = None) -> Column:
+    """The normalised text; texts are the known ones, if not TEXTS."""
+    out = F.lower(text)
+    before_known = rf"{_STATEMENT}[^\n]{{0,{HOLDER_CHARS}}}?(?={openings(texts)})"
+    says = F.contains(out, F.lit("copyright")) | F.contains(out, F.lit("©")) | F.contains(out, F.lit("(c)"))
+    out = F.when(says, F.regexp_replace(out, before_known, " ")).otherwise(out)
+    out = F.regexp_replace(out, COPYRIGHT_LINE, " ")
     for pattern, spelling in EQUIVALENT:
         out = F.regexp_replace(out, pattern, spelling)
     return F.btrim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
@@ -151,7 +186,7 @@ def known_digests(spark, texts: list[tuple[str, str]] | None = None) -> DataFram
     rows = spark.range(1).select(F.explode(F.from_json(F.lit(said), "array<array<string>>")).alias("x"))
     return (
         rows.select(F.col("x")[0].alias("license_id"), F.col("x")[1].alias("license_text"))
-        .select("license_id", digest(canonical(F.col("license_text"))).alias("license_digest"))
+        .select("license_id", digest(canonical(F.col("license_text"), texts)).alias("license_digest"))
         .where("license_digest is not null")
         .groupBy("license_digest")
         .agg(F.min("license_id").alias("license_id"))
@@ -171,11 +206,11 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = text_of(text_col)
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
-        digest(canonical(text)).alias("text_digest"),
+        digest(canonical(text, texts)).alias("text_digest"),
         F.filter(F.split(text, r"\r\n|\r|\n"), lambda x: F.lower(x).rlike(NOTICE_WORDS)).alias("lines"),
     )
     rows = rows.join(F.broadcast(known), F.col("text_digest") == F.col("license_digest"), "left")
-    found = F.filter(F.transform("lines", lambda x: F.try_element_at(lookup, digest(canonical(x)))), lambda x: x.isNotNull())
+    found = F.filter(F.transform("lines", lambda x: F.try_element_at(lookup, digest(canonical(x, texts)))), lambda x: x.isNotNull())
     return rows.select("doc_id", "text_digest", "license_id", found.alias("found")).select(
         "doc_id",
         "text_digest",
