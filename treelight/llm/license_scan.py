@@ -98,6 +98,29 @@ TEXTS = [
     ("Apache-2.0", _APACHE_NOTICE),
     ("MPL-2.0", _MPL_NOTICE),
 ]
+#: Digests of the normalised texts of long public licences, as published: entire, as one line where that differs (copyright
+#: statements end elsewhere), and up to "END OF TERMS AND CONDITIONS" with and without these words. AGPL-3.0 and the CC BY family are missing.
+DIGESTS = [
+    ("Apache-2.0", "4fee98e709bcce54c6f142874574d03e1c430270855b6293646e78477738b3e3"),
+    ("Apache-2.0", "5b6cb1f6b98266597bce32b807caa24d11ec4a7459c595b2550a4671a1397a42"),  # the appendix filled in
+    ("Apache-2.0", "5068e6aa281b14fd8b22622fa3d8c9083674f05897c0586d1c01b5e6f4989733"),
+    ("Apache-2.0", "4ecef2d4ddc0e3f0ff546c44c95fafa01b8eb22392227da8887afe59c07d4991"),
+    ("GPL-2.0", "666c1a66fed41fc3a2aaf6dedcea9bd22a3f2abdbbc2ef9b6534acd4bfe5f795"),
+    ("GPL-2.0", "57558057a7f6541098f3ccaba65a78acbb1f6a3855d9ba4795c2b906d629321e"),
+    ("GPL-2.0", "02aa3ad491a6f9cdf61455e7c963a387803c7c1e9022b1cdaac2fee9af725d4a"),
+    ("GPL-2.0", "e719eb9d4224d6c36814b3a3a73f776e45bc0158ad895df4dc2ef9364499d4fd"),
+    ("GPL-3.0", "3100733a27bd0c2a21b00dbf04c87762858c9b1a4283afaddcb33fa54d47df46"),
+    ("GPL-3.0", "2ae1bcfa33fa1a2d5daf855c5efeb6c2df741f93eace8458d69d9949db3d7a06"),
+    ("GPL-3.0", "4a61e054210300a271d542f579639fce7df853d3164d611b4c6c9d1eb9427429"),
+    ("GPL-3.0", "ac9ca532dfa651f015b318562adce7738c87792757aff9794f3f12be47b918a5"),
+    ("LGPL-2.1", "37f00d23c5a7696b167e05e31c05c7d9e4ab182adcc9441511219b504b0e149d"),
+    ("LGPL-2.1", "9d014ee850092b940b5f07618b9b52ca14d0dad7def13e02c0d5ce392441a54c"),
+    ("LGPL-2.1", "b409c1c030a9e96dd195c57961846e0fc259f28ff506d3316e39f1a516ac6a75"),
+    ("LGPL-2.1", "c0ce6f9865aa6164a5038e538bfe897afe4c6732ce66c046975f7286a29c12e1"),
+    ("LGPL-3.0", "b9d017245d5b6307f6fc2b6dc02be9744eb7e632f313cf7b809a2cd3996db0f6"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("MPL-2.0", "5a8102e063bb1e519103b55e1c4a9fa391cf30752ee2c8757d9edc7a5794c944"),
+]
 #: Names of licences in one-line notices, with their identifiers.
 NAMES = [
     ("MIT", "MIT License"),
@@ -184,10 +207,12 @@ def known_digests(spark, texts: list[tuple[str, str]] | None = None) -> DataFram
     """license_id and license_digest, one row per digest."""
     said = json.dumps(TEXTS + notices() if texts is None else [list(x) for x in texts])
     rows = spark.range(1).select(F.explode(F.from_json(F.lit(said), "array<array<string>>")).alias("x"))
+    known = rows.select(F.col("x")[0].alias("license_id"), digest(canonical(F.col("x")[1], texts)).alias("license_digest"))
+    if texts is None:
+        long = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(DIGESTS)), "array<array<string>>")).alias("x"))
+        known = known.union(long.select(F.col("x")[0], F.col("x")[1]))
     return (
-        rows.select(F.col("x")[0].alias("license_id"), F.col("x")[1].alias("license_text"))
-        .select("license_id", digest(canonical(F.col("license_text"), texts)).alias("license_digest"))
-        .where("license_digest is not null")
+        known.where("license_digest is not null")
         .groupBy("license_digest")
         .agg(F.min("license_id").alias("license_id"))
     )
