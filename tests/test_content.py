@@ -4,6 +4,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+from treelight import queries
 from treelight.functions.extract import decode_entities, decode_text, extract_text, office_text, strip_xml
 from treelight.operators import content
 
@@ -67,6 +68,15 @@ def test_scan(spark):
     assert {r["i"]: r["content_matches"] for r in content.scan_text(rows, ["AA"]).collect()}[102] == 3
 
 
+def test_content_snippet_covers_every_text(spark, tmp_path):
+    draw = random.Random(5)
+    texts = ["".join(draw.choice("ab é文😀\n") for _ in range(draw.randint(0, 90))) + "Idiot" + "".join(draw.choice("xy é文😀 ") for _ in range(draw.randint(0, 90))) for _ in range(40)]
+    texts += ["plain idiot text", "nobody", "é nobody", None]
+    spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["snippet"] for r in queries.QUERIES["content_snippet"](spark, str(tmp_path)).collect()}
+    assert got == {i: snippet(t, "idiot") for i, t in enumerate(texts) if t and "idiot" in t.lower()}
+
+
 def test_scan_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text("the Q3 budget fox")
     (tmp_path / "b.txt").write_text("x" * 500)
