@@ -1,5 +1,6 @@
 from treelight.operators import paths
 from treelight.plans.search import Options, page, totals
+from treelight.sources import volumes
 
 TREE_A = [(1, 10, 5, "work", True), (2, 11, 10, "a.txt", False), (3, 12, 10, "sub", True), (4, 13, 12, "b.md", False), (5, 14, 5, "single.log", False)]
 TREE_B = [(1, 10, 5, "work", True), (2, 11, 10, "notes.txt", False), (3, 12, 5, "notes.md", False)]
@@ -51,6 +52,17 @@ def test_subtree_validate_status(make_tree):
     assert (s["files"], s["dirs"], s["deleted"], s["needs_rebuild"]) == (6, 3, 0, False)
 
 
+def test_documents_without_language_or_source(spark, tmp_path):
+    rows = [(1, "a", "en", "src1"), (2, "b", None, "src1"), (3, "c", "en", None), (4, "d", None, None), (5, "e", "en", "src1")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    e = volumes.entries(spark, str(tmp_path), "D")
+    got = {r["path"] for r in paths.with_paths(e, paths.dir_paths(e)).collect()}
+    files = {f"D:\\{lang or '(none)'}\\{source or '(none)'}\\doc_{i:07}.txt" for i, _, lang, source in rows}
+    assert {p for p in got if p.endswith(".txt")} == files
+    assert len(got) == 5 + 1 + 2 + 4
+    assert tuple(paths.validate(e).first()) == ("D", 0, 0, 0, 0)
+
+
 def test_empty(spark, make_tree):
     e = make_tree([]).limit(0)
     p = paths.dir_paths(e)

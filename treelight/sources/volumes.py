@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from treelight.operators.paths import ROOT_FRN, as_entries
 
 LANG_BASE, SOURCE_BASE, DOC_BASE = 100, 1000, 1_000_000
+UNNAMED = "(none)"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +36,8 @@ def source_frn(lang: Column, source: Column) -> Column:
 
 
 def documents_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("lang is not null and source is not null")
+    """Every document is an entry: one without a language or source hangs below the directory UNNAMED."""
+    d = table(spark, sf_dir, "documents").withColumns({c: F.coalesce(c, F.lit(UNNAMED)) for c in ("lang", "source")})
     pairs = d.select("lang", "source").distinct()
     lang, source = F.col("lang"), F.col("source")
     return (
