@@ -77,6 +77,18 @@ def test_content_snippet_covers_every_text(spark, tmp_path):
     assert got == {i: snippet(t, "idiot") for i, t in enumerate(texts) if t and "idiot" in t.lower()}
 
 
+def test_content_window_is_the_production_default(spark, tmp_path):
+    ids = [i for i in range(10_000) if "5" in str(i)][:2500]
+    for name, n in (("few", 600), ("many", 2500)):
+        rows = [(i, "the thing" if i % 2 else "nothing", "en", "src1") for i in ids[:n]]
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / name / "documents.parquet"))
+        window = ids[: min(n, content.MOST_CANDIDATES)]
+        assert tuple(queries.QUERIES["content_status_counts"](spark, str(tmp_path / name)).first()) == (len(window), 0, 0, 0, sum(i % 2 for i in window))
+        assert queries.QUERIES["content_window_truncated"](spark, str(tmp_path / name)).first()["truncated"] == (n > content.MOST_CANDIDATES)
+    tiny = spark.createDataFrame([("D", s, s == 1) for s in range(6)], "drive string, slot long, is_dir boolean")
+    assert [r["slot"] for r in content.candidates(tiny, 3).orderBy("slot").collect()] == [0, 2]
+
+
 def test_scan_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text("the Q3 budget fox")
     (tmp_path / "b.txt").write_text("x" * 500)

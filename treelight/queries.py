@@ -216,7 +216,7 @@ def _doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    window = content.candidates(_doc_files(spark, sf_dir), 300)
+    window = content.candidates(_doc_files(spark, sf_dir))
     d = _docs(spark, sf_dir).withColumn("slot", F.col("doc_id") + volumes.DOC_BASE)
     return content.scan_text(window.select("drive", "slot", "name").join(d.select("slot", "text"), "slot", "left"), NEEDLES)
 
@@ -232,7 +232,7 @@ w AS (SELECT doc_id FROM c ORDER BY doc_id LIMIT (SELECT greatest(0, 300 - n) FR
 @_query("content_window_truncated", f"WITH {_WINDOW} SELECT (SELECT count(*) FROM c) > (SELECT count(*) FROM w) AS truncated")
 def content_window_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _doc_files(spark, sf_dir)
-    n = content.candidates(rows, 300).agg(F.count(F.lit(1)).alias("in_window"))
+    n = content.candidates(rows).agg(F.count(F.lit(1)).alias("in_window"))
     return rows.agg(F.count_if(~F.col("is_dir")).alias("all_files")).join(n).select((F.col("all_files") > F.col("in_window")).alias("truncated"))
 
 
