@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import public_tokenizers
 import pytest
@@ -83,6 +84,19 @@ def test_toxicity(spark, docs, odd):
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_learns_from_texts_with_a_common_opening(spark):
+    """Toxic texts that differ only after a long common passage all count; equal ones count once."""
+    opening = "This passage opens every one of these texts and is longer than eighty characters in all. "
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % toxicity.FOLDS != toxicity.HELD_OUT]
+    toxic = [(i, f"{opening}Number {i}: you zorgling.") for i in ids[:40]]
+    clean = [(i, f"{opening}Number {i}: fine weather.") for i in ids[40:160]]
+    same = [(i, "EQUAL  text: you blorbing" if i % 2 else "equal text: you blorbing ") for i in ids[160:190]]
+    docs = spark.createDataFrame(toxic + clean + same, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i, _ in toxic + same] + [(i, 0) for i, _ in clean], "doc_id long, toxic int")
+    grammar = toxicity.train(docs, labels)
+    assert "=zorgling" in grammar.weights and "=blorbing" not in grammar.weights
+
+
 def test_grammar_scores_clauses():
     g = toxicity.Grammar({"=idiot": 4.0, "scum": 5.0})
     total = lambda t: g.features(t)[0]
