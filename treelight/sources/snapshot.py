@@ -10,20 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treelight.operators.paths import validate
+from treelight.sources.shared import hadoop_path
 
 MAGIC, FORMAT = "treelight", 2
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
     """By way of another name, so that a reader sees all of it or nothing."""
     jvm = spark.sparkContext._jvm
-    other, fs = _fs(spark, f"{path}.{uuid.uuid4().hex}")
+    other, fs = hadoop_path(spark, f"{path}.{uuid.uuid4().hex}")
     out = fs.create(other, True)
     out.write(bytearray(text.encode()))
     out.close()
