@@ -179,6 +179,70 @@ def test_near_dedup(spark):
     assert kept.columns == frame.columns and {r["doc_id"] for r in kept.collect()} == set(want.values())
 
 
+def test_near_dedup_in_a_crowd(spark):
+    """Copies of one text, each with edits of its own: most pairs are just below the threshold, and links run through a few."""
+    draw = random.Random(1)
+    rows = []
+    for i in range(400):
+        w = [f"w{k}" for k in range(120)]
+        for _ in range(draw.randint(2, 4)):
+            w[draw.randrange(120)] = f"e{draw.random()}"
+        rows.append((i, " ".join(w)))
+    got = {r["doc_id"]: r["class_id"] for r in minhash_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows)
+
+
+def test_candidates_are_all_links_and_few_others(spark):
+    """Against brute force over a crowd: no link of different classes is lost, and the pairs listed are of the order of the links."""
+    import numpy as np
+
+    draw = random.Random(2)
+    sets = {0: frozenset(range(1, 151))}
+    for i in range(1, 600):
+        start, length = draw.randint(1, 130), draw.randint(0, 36)
+        sets[i] = sets[0] - set(range(start, start + length)) | {1000 * i + k for k in range(draw.randint(0, 6))} | set(draw.sample(range(500, 540), 3))
+    contents = [(i, bytearray(b"".join(int(x).to_bytes(8, "little")[: minhash_dedup.HASH_BYTES] for x in sorted(s)))) for i, s in sets.items()]
+    unpacked = minhash_dedup._unpacked(bytes(contents[1][1]))
+    assert len(np.unique(unpacked)) == len(sets[1])
+    frame = spark.createDataFrame(contents, "id long, h binary")
+    pairs = spark.createDataFrame([(0, i, i % 3, 3) for i in range(1, 600)], "hub long, id long, part int, parts int")
+    jaccard = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    near = {i for i in sets if jaccard(0, i) >= 0.8}
+    found = minhash_dedup._differences(pairs, frame)
+    assert {r["id"] for r in found.where("similarity >= 0.8").collect()} == near - {0}
+    placed = found.withColumn("label", F.when(F.col("similarity") >= 0.8, F.lit(0)).otherwise(F.col("id"))).withColumn("outside", F.col("similarity") < 0.8)
+    got = {(r["a"], r["b"]) for r in minhash_dedup._candidates(placed, 0.8).collect()}
+    links = {(a, b) for a in range(1, 600) for b in range(a + 1, 600) if not (a in near and b in near) and jaccard(a, b) >= 0.8}
+    assert links and links <= got and len(got) <= 2 * len(links)
+
+
+def test_near_dedup_recall_on_documents(spark, docs):
+    """All pairs of the table by an inverted index, against the classes; copies count as well."""
+    from collections import Counter, defaultdict
+
+    rows = [(r["doc_id"], (r["text"] or "").lower().split()) for r in docs.collect()]
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, w in rows if w}
+    holders = defaultdict(list)
+    for d, s in sets.items():
+        for x in s:
+            holders[x].append(d)
+    links = []
+    for d, s in sets.items():
+        common = Counter(o for x in s for o in holders[x] if o < d)
+        links += [(d, o) for o, n in common.items() if n >= 0.8 * (len(s) + len(sets[o]) - n)]
+    got = {r["doc_id"]: r["class_id"] for r in minhash_dedup.near_dedup(docs).collect()}
+    assert len(links) > 100
+    assert sum(got[a] == got[b] for a, b in links) >= 0.999 * len(links)
+    members = defaultdict(list)
+    for d, c in got.items():
+        members[c].append(d)
+    neighbours = defaultdict(set)
+    for a, b in links:
+        neighbours[a].add(b)
+        neighbours[b].add(a)
+    assert all(neighbours[d] for c in members.values() if len(c) > 1 for d in c if sets.get(d))
+
+
 def test_near_dedup_with_repeated_lines(spark):
     """Near copies of which one repeats a passage 50 or 300 times: every pair is found."""
     rows = []

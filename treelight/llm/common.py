@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treelight.sources.shared import written  # noqa: F401  the operators take it from here
+from treelight.sources.shared import Scratch, written  # noqa: F401  the operators take them from here
 
 #: White space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"

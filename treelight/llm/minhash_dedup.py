@@ -10,11 +10,11 @@
    with a probability equal to their probability Jaccard similarity.
 3. Banding: BANDS keys of ROWS registers each. Documents that share a key are candidates. In each bucket only the
    smallest id is paired with the others (a star), then classes are formed. Buckets that still hold several classes pair
-   the members outside the largest class with its hub, the member with the highest mean similarity so far. What is then
-   still apart is paired by prefix filtering: two sets with a Jaccard similarity of at least t share one of the
-   (1 - t) n + 1 first shingles of each, in any common order; in order of rising frequency, texts that differ too much
-   have only shingles of their own there and meet nobody. So no link between candidates is lost, and pairs inside a class
-   or of the crowd around a class aren't listed.
+   all their members with the hub of the largest class, the member with the highest mean similarity so far. What is then
+   still apart is paired by what differs from the hub: two texts of a crowd that are similar enough must have
+   a certain number of differences from the hub in common, so they meet in one of the rarest of these (prefix filtering on
+   differences, bounded by positions and by parity maps). So no link between candidates is lost, and the pairs listed are of
+   the order of the links, whatever the size of the crowd.
 4. Verification: a pair is linked where the Jaccard similarity of the sets of shingles is 0.8 or more.
 5. Classes are the connected components of the links, found by least labels and pointer jumping, each round written
    to the shared folder.
@@ -30,13 +30,14 @@ empty table gives an empty result; other columns are ignored whatever their name
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treelight.llm.common import text_of, words_of, written
+from treelight.llm.common import Scratch, text_of, words_of
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -45,6 +46,10 @@ ROWS = 5
 CHUNK_WORDS = 400_000
 #: Bytes of a shingle's hash that verification compares.
 HASH_BYTES = 5
+#: Members of one hub that one task meets it with, about.
+HUB_PART = 256
+#: 64-bit words of a difference's parity map.
+MAP_WORDS = 4
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -196,50 +201,116 @@ def _verified(pairs: DataFrame, contents: DataFrame, threshold: float) -> DataFr
     return rows.mapInArrow(run, f"a {id_type}, b {id_type}, similarity double")
 
 
-def _prefixes(contents: DataFrame, threshold: float) -> DataFrame:
-    """id, n (shingles), token and before (shingles before it): of each prefix, in order of rising frequency, the shingles
-    that another document has too.
+_MAP = [f"map{i}" for i in range(MAP_WORDS)]
 
-    Shingles that no other document has stand first in that order, so they take their places without being listed.
+
+def _by_part(spokes: DataFrame, hub_rows: DataFrame) -> DataFrame:
+    """hub_rows (hub, ...) once for each part of each hub."""
+    hubs = spokes.select("hub", "parts").distinct()
+    return hubs.join(hub_rows, "hub").select(*hub_rows.columns, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+
+
+def _differences(spokes: DataFrame, contents: DataFrame) -> DataFrame:
+    """hub, id, n and hub_n (shingles), similarity, tokens (hashes of the shingles that only one of the two has) and map (the parity of
+    the tokens in each of 64 * MAP_WORDS cells) of spokes (hub, id, part,
+    parts: members of a hub are dealt in parts, each with its own copy of the hub's row).
+
+    A token's hash also depends on the hub, so equal tokens belong to one hub's members.
     """
-    id_type = contents.schema["id"].dataType.simpleString()
+    left = _by_part(spokes, contents.select(F.col("id").alias("hub"), F.col("h").alias("hub_h")))
+    rows = spokes.hint("merge").join(contents, "id").hint("merge").join(left, ["hub", "part"])
+    rows = rows.select("hub", "id", "h", "hub_h", F.xxhash64("hub").alias("salt"), "part", "parts")
+    id_type = spokes.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("id")
-            for i, value in enumerate(batch.column("h")):
-                h = _unpacked(value.as_py())
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.full(len(h), i))), pa.array(np.full(len(h), len(h))), pa.array(h.view(np.int64))], names=["id", "n", "token"])
+            n, hub_n, found, tokens, maps = [], [], [], [], []
+            for h, hub_h, salt in zip(batch.column("h"), batch.column("hub_h"), batch.column("salt").to_numpy().view(np.uint64), strict=True):
+                x, y = _unpacked(h.as_py()), _unpacked(hub_h.as_py())
+                only = np.setxor1d(x, y, assume_unique=True)
+                both = (len(x) + len(y) - len(only)) // 2
+                n.append(len(x))
+                hub_n.append(len(y))
+                found.append(both / max(1, both + len(only)))
+                hashed = mix64(only ^ salt)
+                tokens.append(hashed.view(np.int64))
+                odd = np.bincount((hashed % np.uint64(64 * MAP_WORDS)).astype(np.int64), minlength=64 * MAP_WORDS) % 2
+                maps.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            starts = pa.array(np.cumsum([0, *map(len, tokens)]), pa.int32())
+            lists = pa.ListArray.from_arrays(starts, pa.array(np.concatenate([np.zeros(0, np.int64), *tokens])))
+            columns = [batch.column("hub"), batch.column("id"), pa.array(n, pa.int64()), pa.array(hub_n, pa.int64()), pa.array(found, pa.float64()), lists]
+            columns += [batch.column("part"), batch.column("parts"), *(pa.array([m[i] for m in maps], pa.int64()) for i in range(MAP_WORDS))]
+            yield pa.RecordBatch.from_arrays(columns, names=["hub", "id", "n", "hub_n", "similarity", "tokens", "part", "parts", *_MAP])
+
+    maps = ", ".join(f"{m} bigint" for m in _MAP)
+    return rows.mapInArrow(run, f"hub {id_type}, id {id_type}, n bigint, hub_n bigint, similarity double, tokens array<bigint>, part int, parts int, {maps}")
+
+
+def _candidates(differences: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of members of one hub, in different classes, that can reach the threshold.
+
+    differences: hub, id, n, hub_n, label, outside (label isn't the hub's), tokens. Two texts of n and m shingles are similar enough where
+    they differ in at most share * (n + m) of them, share = (1 - t) / (1 + t). With differences of size d and e from the hub, of which they
+    have k in common, they differ in d + e - 2 k; so k >= (excess of one + excess of the other) / 2, where a text's excess is
+    d - share * n. Excesses of texts outside the hub's class are above share * hub_n, so k is above zero.
+    Both sides list tokens in order of rising frequency, those that no other member has standing first without being listed. The one
+    with the lower excess lists what a partner with a higher one must meet; what stands before a common token bounds k on either side.
+    Cells in which two parity maps differ hold at least one shingle that only one of the two texts has.
+    """
+    share = (1 - threshold) / (1 + threshold)
+    listed = differences.select("hub", "id", F.explode("tokens").alias("token"))
+    often = listed.groupBy("token").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    met = listed.join(often, "token").groupBy("hub", "id").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("met"))
+    sized = differences.select("hub", "id", "n", "label", "outside", F.size("tokens").alias("d"), (F.size("tokens") - share * F.col("n")).alias("excess"), (share * F.col("hub_n")).alias("far"), *_MAP)
+    rows = sized.join(met, ["hub", "id"]).withColumn("own", F.col("d") - F.size("met"))
+    # the least excess of a partner: one of higher excess, or any text of a size that fits
+    above = F.when(F.col("outside"), F.col("excess")).otherwise(F.greatest("excess", "far"))
+    below = F.greatest(F.col("excess") - 2 * share * F.col("n") / threshold, -share * F.col("n") / threshold)
+
+    def tokens(partner: Column) -> DataFrame:
+        common = (F.col("excess") + partner) / 2 - 1e-9
+        length = F.floor(F.col("d") - F.greatest(common, F.lit(0.5))).cast("int") + 1 - F.col("own")
+        kept = rows.withColumn("listed", F.slice("met", F.lit(1), F.greatest(length, F.lit(0))))
+        return kept.select("id", "n", "label", "excess", "d", "own", *_MAP, F.posexplode("listed").alias("at", "x")).select(
+            "id", "n", "label", "excess", *_MAP, (F.col("d") - F.col("own") - F.col("at")).alias("left"), F.col("x.token").alias("token")
+        )
 
-    tokens = written(contents.select("id", "h").mapInArrow(run, f"id {id_type}, n bigint, token bigint"), "tokens")
-    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    shared = tokens.join(often, "token").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("tokens"))
-    own = F.col("n") - F.size("tokens")
-    length = F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1 - own
-    listed = shared.select("id", "n", own.alias("own"), F.posexplode(F.slice("tokens", F.lit(1), F.greatest(length, F.lit(0)).cast("int"))).alias("at", "x"))
-    return listed.select("id", "n", F.col("x.token").alias("token"), (F.col("own") + F.col("at")).alias("before"))
+    lower = tokens(above).select(*[F.col(c).alias(c if c == "token" else f"l_{c}") for c in ("id", "n", "label", "excess", "left", "token", *_MAP)])
+    unlike = reduce(Column.__add__, (F.bit_count(F.col(m).bitwiseXOR(F.col(f"l_{m}"))) for m in _MAP))
+    return (
+        tokens(below)
+        .join(lower, "token")
+        .where("label <> l_label and (l_excess < excess or (l_excess = excess and l_id < id))")
+        .where(F.least("left", "l_left") >= (F.col("excess") + F.col("l_excess")) / 2 - 1e-9)
+        .where(unlike <= share * (F.col("n") + F.col("l_n")) + 1e-9)
+        .where(F.least("n", "l_n") >= threshold * F.greatest("n", "l_n") - 1e-9)
+        .select(*_ordered(F.col("id"), F.col("l_id")))
+        .distinct()
+    )
 
 
 def components(links: DataFrame) -> DataFrame:
     """id, class: the least id of each connected component of links (a, b); a row for each id in a link."""
-    both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("class")), "labels")
+    scratch = Scratch(links.sparkSession)
+    both = scratch.written(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
+    labels = scratch.written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("class")), "labels")
     while True:
         near = both.join(labels, both["b"] == labels["id"]).groupBy(F.col("a").alias("n_id")).agg(F.min("class").alias("n_class"))
         lowered = labels.join(near, labels["id"] == near["n_id"], "left").select("id", F.col("class").alias("was"), F.least("class", F.coalesce("n_class", "class")).alias("to"))
         over = labels.select(F.col("id").alias("o_id"), F.col("class").alias("o_class"))
-        jumped = written(
-            lowered.join(over, lowered["to"] == over["o_id"], "left").select("id", "was", F.least("to", F.coalesce("o_class", "to")).alias("class")), "labels"
-        )
+        jumped = lowered.join(over, lowered["to"] == over["o_id"], "left").select("id", "was", F.least("to", F.coalesce("o_class", "to")).alias("class"))
+        jumped = scratch.written(jumped, "labels")
         labels = jumped.select("id", "class")
         if jumped.where("class < was").isEmpty():
+            scratch.clear(jumped)
             return labels
+        scratch.clear(both, jumped)
 
 
-def _apart(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """key, id, label, main (the label of the bucket's largest class) of the members of buckets with several classes."""
-    labelled = shared.join(labels.withColumnRenamed("class", "label"), "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-    labelled = written(labelled, "labelled")
+def _apart(shared: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """key, id, n (the bucket's members), label, main (the label of the bucket's largest class) of the members of buckets with several classes."""
+    labelled = shared.join(labels.withColumnRenamed("class", "label"), "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("label"))
+    labelled = scratch.written(labelled, "labelled")
     mixed = (
         labelled.groupBy("key", "label")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -248,7 +319,7 @@ def _apart(shared: DataFrame, labels: DataFrame) -> DataFrame:
         .where("n_labels > 1")
         .select("key", F.col("most.label").alias("main"))
     )
-    return written(labelled.join(mixed, "key"), "mixed")
+    return scratch.written(labelled.join(mixed, "key"), "mixed")
 
 
 def _ordered(a: Column, b: Column) -> list[Column]:
@@ -269,54 +340,50 @@ def near_dedup(
 
     Rows with a null id take no part and share the null class. Links are those that were verified; pairs already in one class through others aren't tested.
     """
-    signed = written(_signatures(docs, id_col, text_col, words, bands, rows), "signatures")
+    scratch = Scratch(docs.sparkSession)
+    signed = scratch.written(_signatures(docs, id_col, text_col, words, bands, rows), "signatures")
     copies = signed.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("copy_of"))
     chosen = copies.select(F.col("copy_of").alias("id")).distinct()
-    members = written(
+    members = scratch.written(
         signed.where("digest is not null")
         .join(chosen, "id", "left_semi")
         .select("id", F.explode("keys").alias("key"))
         .distinct(),
         "members",
     )
-    buckets = written(members.groupBy("key").agg(F.min("id").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    buckets = scratch.written(members.groupBy("key").agg(F.min("id").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     shared = members.join(buckets, "key")
-    stars = written(shared.where("id <> center").select(*_ordered(F.col("center"), F.col("id"))).distinct(), "stars")
+    stars = scratch.written(shared.where("id <> center").select(*_ordered(F.col("center"), F.col("id"))).distinct(), "stars")
     ends = stars.select(F.col("a").alias("id")).union(stars.select(F.col("b").alias("id"))).distinct()
-    contents = written(_contents(docs, ends, id_col, text_col, words), "contents")
-    links = written(_verified(stars, contents, threshold), "star-links")
+    contents = scratch.written(_contents(docs, ends, id_col, text_col, words), "contents")
+    links = scratch.written(_verified(stars, contents, threshold), "star-links")
 
-    # buckets of three or more with several classes: members outside the largest one against its hub
-    shared = shared.where("n > 2")
-    inside = _apart(shared, components(links))
+    # buckets of three or more with several classes: every member against the hub
+    inside = _apart(shared.where("n > 2"), components(links), scratch)
     both_ways = links.select(F.col("a").alias("c_id"), "similarity").union(links.select(F.col("b").alias("c_id"), "similarity"))
     closeness = both_ways.groupBy("c_id").agg(F.avg("similarity").alias("near"))
     hubs = (
         inside.where("label = main")
         .join(closeness, F.col("id") == F.col("c_id"), "left")
         .groupBy("key")
-        .agg(F.max(F.struct(F.coalesce("near", F.lit(0.0)), "id"))["id"].alias("hub"))
-    )
-    spokes = inside.where("label <> main").join(hubs, "key").select(*_ordered(F.col("hub"), F.col("id"))).distinct()
-    spokes = written(spokes.join(stars, ["a", "b"], "left_anti"), "spokes")
-    links = links.union(written(_verified(spokes, contents, threshold), "hub-links"))
-
-    # what is still apart: prefix filtering among the members of such buckets, at least one of the pair outside the largest class
-    inside = _apart(shared, components(links))
-    members_apart = written(inside.groupBy("id", "label").agg(F.max(F.col("label") != F.col("main")).alias("outside")), "apart")
-    prefixes = written(_prefixes(contents.hint("merge").join(members_apart.select("id"), "id", "left_semi"), threshold).join(members_apart, "id"), "prefixes")
-    other = prefixes.select(F.col("id").alias("o_id"), F.col("n").alias("o_n"), F.col("label").alias("o_label"), F.col("before").alias("o_before"), "token").where("outside")
-    # what stands before the first common shingle isn't common: it bounds the overlap that the threshold asks for
-    asked = threshold / (1 + threshold) * (F.col("n") + F.col("o_n")) - 1e-9
-    cross = (
-        prefixes.join(other, "token")
-        .where("label <> o_label and (not outside or id < o_id)")
-        .where(F.least(F.col("n") - F.col("before"), F.col("o_n") - F.col("o_before")) >= asked)
-        .select(*_ordered(F.col("id"), F.col("o_id")))
-        .distinct()
+        .agg(F.max(F.struct(F.coalesce("near", F.lit(0.0)), "id"))["id"].alias("hub"), F.max("n").alias("n"))
     )
-    cross = written(cross.join(stars, ["a", "b"], "left_anti").join(spokes, ["a", "b"], "left_anti"), "cross")
-    links = links.union(written(_verified(cross, contents, threshold), "cross-links")).select("a", "b").distinct()
+    parts = hubs.groupBy(F.col("hub").alias("p_hub")).agg(F.ceil(F.sum("n") / HUB_PART).cast("int").alias("parts"))
+    hubs = hubs.join(parts, F.col("hub") == F.col("p_hub")).select("key", "hub", "parts")
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    spokes = scratch.written(inside.join(hubs, "key").where("id <> hub").select("hub", "id", part.alias("part"), "parts").distinct(), "spokes")
+    differences = scratch.written(_differences(spokes, contents), "differences")
+    links = links.union(differences.where(F.col("similarity") >= threshold).select(*_ordered(F.col("hub"), F.col("id")), "similarity"))
+
+    # members of a hub that are still apart, by what they have other than the hub
+    labels = components(links).withColumnRenamed("class", "label")
+    placed = differences.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    hub_labels = spokes.select("hub").distinct().join(labels, F.col("hub") == F.col("id"), "left").select("hub", F.coalesce("label", "hub").alias("hub_label"))
+    placed = placed.join(_by_part(spokes, hub_labels), ["hub", "part"])
+    placed = scratch.written(placed.withColumn("outside", F.col("label") != F.col("hub_label")), "placed")
+    mixed = _by_part(spokes, placed.where("outside").select("hub").distinct())
+    cross = scratch.written(_candidates(placed.join(mixed, ["hub", "part"], "left_semi"), threshold), "cross")
+    links = links.union(scratch.written(_verified(cross, contents, threshold), "cross-links")).select("a", "b").distinct()
     labels = components(links)
     degrees = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     copies = copies.join(labels, copies["copy_of"] == labels["id"], "left").drop("id")
@@ -324,7 +391,7 @@ def near_dedup(
         "digest", "copy_of", F.coalesce("class", "copy_of").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
     placed = signed.select("id", F.when(F.col("id").isNotNull(), F.col("digest")).alias("digest")).join(copies, "digest", "left")
-    placed = written(
+    placed = scratch.written(
         placed.select(
             "id",
             F.coalesce("class_id", "id").alias("class_id"),
@@ -333,6 +400,7 @@ def near_dedup(
         ),
         "classes",
     )
+    scratch.clear(placed)
     sizes = placed.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
     sizes = sizes.withColumnRenamed("class_id", "s_id")
     return placed.join(sizes, F.col("class_id").eqNullSafe(F.col("s_id"))).select(
