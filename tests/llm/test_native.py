@@ -56,6 +56,35 @@ def test_exact_dedup_rows(odd):
     assert {r["doc_id"] for r in kept.collect()} == {5, 4, 6, 7, 9, 10, None, 11}
 
 
+def test_exact_dedup_hashes_whole_texts_of_shared_keys_only(spark, docs):
+    """In the plan of dedup_rows the hash of the text stands above the filter by surviving keys; exact_dedup hashes each text once."""
+    plan = exact_dedup.dedup_rows(docs)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    digest = [i for i, line in enumerate(plan) if "sha2(" in line]
+    known = [i for i, line in enumerate(plan) if "Filter" in line and "getbit" in line]
+    assert digest and known and max(digest) < max(known)
+    assert sum("sha2(" in line for line in exact_dedup.exact_dedup(docs)._jdf.queryExecution().optimizedPlan().toString().split("\n")) == 0
+
+
+def test_exact_dedup_with_few_bits(spark, monkeypatch):
+    """Keys that share a bit change nothing; a third of the rows are one text."""
+    monkeypatch.setattr(exact_dedup, "MOST_ROWS", 1)
+    monkeypatch.setattr(exact_dedup, "ROW_BITS", 8)
+    rows = [(i, "hot" if i % 3 == 0 else f"text {i % 500}") for i in range(3000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(13)
+    want = {}
+    for i, t in rows:
+        want[t] = max(i, want.get(t, 0))
+    assert {r["doc_id"] for r in exact_dedup.dedup_rows(frame).collect()} == set(want.values())
+    assert {(r["doc_id"], r["keep_id"]) for r in exact_dedup.exact_dedup(frame).collect()} == {(i, want[t]) for i, t in rows}
+
+
+def test_exact_dedup_of_repeats_that_differ_elsewhere(spark):
+    """Which of two rows with one id stays doesn't depend on the partitions."""
+    rows = [(1, "t", f"c{i}") for i in range(30)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, len string")
+    assert len({exact_dedup.dedup_rows(frame.repartition(n, "len")).collect()[0]["len"] for n in (1, 3, 8)}) == 1
+
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 

@@ -1,76 +1,78 @@
 """Exact deduplication by progressive refinement: length, then prefix hash, then the hash of the whole text.
 
-Each level keeps only the rows whose key another row shares, so later levels shuffle ever fewer rows, and
-what is shuffled are always narrow rows (ids, a length and hashes), never texts. Counts are pre-aggregated
-before each shuffle, so one group of copies may hold any share of the rows; the joins back to the rows are
-plain sort-merge joins, which adaptive execution splits where a key is hot.
-
-Defined results: a null text counts as the empty text; texts are equal when they are identical after
-lower-casing A-Z alone; of equal texts the largest id stays; repeated rows of the document that stays are the
-same document, so each counts in group_size and each is marked kept (``dedup_rows`` leaves one of them);
-an empty table gives an empty result; other columns are ignored whatever their names.
+Rows are counted by length and prefix hash, pre-aggregated before the shuffle; a key that two rows share survives (its length is
+shared, too). The surviving keys go into a bitmap of bounded size that every task has: rows that it doesn't know are alone and take
+no further part, they aren't shuffled. What it knows is grouped by key and hash of the whole text, which decides; a key that
+shares its bit with a surviving one is only grouped for nothing. ``dedup_rows`` hashes whole texts only there, and moves whole
+rows only there, after each task has left one row of every group; a group of copies may hold any share of the rows. ``exact_dedup``
+returns a digest for every row, so it hashes every text, once, and goes on with ids, lengths and hashes.
+
+Defined results: a null text counts as the empty text; very long texts are compared whole like any other; texts are equal when they
+are identical after lower-casing A-Z alone; of equal texts the largest id stays, a null id only where there's no other; repeated rows
+of the document that stays are the same document, so each counts in group_size and each is marked kept (``dedup_rows`` leaves one of
+them, the one with the largest hash of all columns where they differ); an empty table gives an empty result; other columns are
+ignored whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from treelight.llm.common import ascii_lower, text_of, written
 
 #: Characters of the text that the second level hashes.
 PREFIX_CHARS = 64
+#: Bits of a row of the bitmap (what bitmap_construct_agg makes), bits for each surviving key, and rows at most (32 MB in all).
+ROW_BITS, KEY_BITS, MOST_ROWS = 32768, 16, 8192
 
 
-def _heads(docs: DataFrame, id_col: str, text_col: str, prefix_chars: int) -> DataFrame:
-    text = text_of(text_col)
-    return docs.select(
-        F.col(id_col).alias("id"),
-        F.octet_length(text).alias("len"),  # lower-casing A-Z keeps the length in bytes
-        F.xxhash64(ascii_lower(F.substring(text, 1, prefix_chars))).alias("prefix"),
-    )
+def _length(text: Column) -> Column:
+    return F.octet_length(text)  # lower-casing A-Z keeps the length in bytes
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS) -> DataFrame:
-    """Groups of two or more equal texts: len, prefix, digest, keep_id, group_size, keep_rows (rows with keep_id).
+def _prefix(text: Column, prefix_chars: int) -> Column:
+    return F.xxhash64(ascii_lower(F.substring(text, 1, prefix_chars)))
 
-    The whole text is hashed only in rows that share both length and prefix hash with another row.
-    """
-    heads = _heads(docs, id_col, text_col, prefix_chars)
-    lengths = heads.groupBy("len").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("len")
-    prefixes = (
-        heads.join(lengths, "len", "left_semi")
-        .groupBy("len", "prefix")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-        .select("len", "prefix")
-    )
-    rows = _digests(docs, id_col, text_col, prefix_chars).join(prefixes, ["len", "prefix"], "left_semi")
-    return (
-        rows.groupBy("len", "prefix", "digest", "id")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("len", "prefix", "digest")
-        .agg(F.max(F.struct("id", "n")).alias("keep"), F.sum("n").alias("group_size"))
-        .where("group_size > 1")
-        .select("len", "prefix", "digest", F.col("keep.id").alias("keep_id"), "group_size", F.col("keep.n").alias("keep_rows"))
-    )
 
+def _digest(text: Column) -> Column:
+    return F.sha2(ascii_lower(text), 256)
 
-def _digests(docs: DataFrame, id_col: str, text_col: str, prefix_chars: int) -> DataFrame:
-    text = text_of(text_col)
-    return docs.select(
-        F.col(id_col).alias("id"),
-        F.octet_length(text).alias("len"),
-        F.xxhash64(ascii_lower(F.substring(text, 1, prefix_chars))).alias("prefix"),
-        F.sha2(ascii_lower(text), 256).alias("digest"),
-    )
+
+def _surviving(heads: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows (with len, prefix) that share both with another row of heads, with few others; and those that certainly don't."""
+    keys = heads.groupBy("len", "prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.xxhash64("len", "prefix").alias("key"))
+    keys = written(keys, "shared-keys")
+    n_rows = max(1, min(MOST_ROWS, -(-keys.count() * KEY_BITS // ROW_BITS)))
+
+    def place(key: Column) -> tuple[Column, Column]:
+        at = F.pmod(key, F.lit(n_rows * ROW_BITS))
+        return F.floor(at / ROW_BITS).cast("int"), F.pmod(at, F.lit(ROW_BITS))
+
+    row, bit = place(F.col("key"))
+    bits = F.broadcast(keys.groupBy(row.alias("bit_row")).agg(F.bitmap_construct_agg(bit).alias("bits")))
+    row, bit = place(F.xxhash64("len", "prefix"))
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    known = F.coalesce(F.getbit(byte.cast("long"), (bit % 8).cast("int")) == 1, F.lit(False))
+    met = rows.join(bits, row == F.col("bit_row"), "left").withColumn("known", known).drop("bit_row", "bits")
+    return met.where("known").drop("known"), met.where("not known").drop("known")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
-    groups = exact_groups(docs, id_col, text_col, prefix_chars).drop("keep_rows")
-    rows = _digests(docs, id_col, text_col, prefix_chars)
-    return rows.join(groups, ["len", "prefix", "digest"], "left").select(
+    text = text_of(text_col)
+    rows = docs.select(F.col(id_col).alias("id"), _length(text).alias("len"), _prefix(text, prefix_chars).alias("prefix"), _digest(text).alias("digest"))
+    rows = written(rows, "digests")
+    shared, alone = _surviving(rows, rows)
+    groups = (
+        shared.groupBy("len", "prefix", "digest")
+        .agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        .where("group_size > 1")
+    )
+    shared = shared.join(groups, ["len", "prefix", "digest"], "left").select("id", "digest", "keep_id", "group_size")
+    alone = alone.select("id", "digest", F.lit(None).cast(rows.schema["id"].dataType).alias("keep_id"), F.lit(None).cast("long").alias("group_size"))
+    return shared.union(alone).select(
         F.col("id").alias("doc_id"),
         F.coalesce("keep_id", "id").alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
@@ -80,22 +82,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def dedup_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS) -> DataFrame:
-    """The rows of docs that stay, with all their columns: one row for each different text.
-
-    The groups are found on narrow rows and written; then each whole row moves once, to be met by its group.
-    Where the row that stays is repeated, one of the repeats is left.
-    """
-    groups = written(exact_groups(docs, id_col, text_col, prefix_chars), "exact-groups")
+    """The rows of docs that stay, with all their columns: one row for each different text."""
     text = text_of(text_col)
-    keyed = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        F.col(id_col).alias("id"),
-        F.octet_length(text).alias("len"),
-        F.xxhash64(ascii_lower(F.substring(text, 1, prefix_chars))).alias("prefix"),
-        F.sha2(ascii_lower(text), 256).alias("digest"),
-    )
-    rows = keyed.hint("merge").join(groups, ["len", "prefix", "digest"], "left").where("group_size is null or id <=> keep_id")
-    if not groups.where("keep_rows > 1").isEmpty():
-        once = rows.where("coalesce(keep_rows, 1) = 1")
-        rows = once.unionByName(rows.where("keep_rows > 1").dropDuplicates(["digest"]))
-    return rows.select("row.*")
+    heads = docs.select(_length(text).alias("len"), _prefix(text, prefix_chars).alias("prefix"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _length(text).alias("len"), _prefix(text, prefix_chars).alias("prefix"))
+    shared, alone = _surviving(heads, rows)
+    plain = [f.name for f in docs.schema.fields if not isinstance(f.dataType, (MapType, VariantType))]
+    order = F.struct(F.col("row")[id_col], F.xxhash64(*[F.col("row")[c] for c in plain]))
+    whole = _digest(F.coalesce(F.col("row")[text_col].cast("string"), F.lit("")))
+    shared = shared.groupBy("len", "prefix", whole.alias("digest")).agg(F.max_by("row", order).alias("row"))
+    return alone.select("row.*").union(shared.select("row.*"))
