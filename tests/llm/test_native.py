@@ -204,6 +204,43 @@ def test_mix(spark, docs):
         assert abs(taken[s] - target[s]) <= source_mix.BLOCK_WORDS * (1 + shards[s])
     assert sorted(map(repr, rows)) == sorted(map(repr, source_mix.mix(frame.repartition(7), shard_words=3000).collect()))
     assert source_mix.mix(frame.limit(0)).count() == 0
+    clash = frame.selectExpr("*", "1 as size", "'x' as shard", "2 as sid", "3 as target", "'r' as row", "4 as tie")
+    assert sorted(map(repr, source_mix.mix(clash, shard_words=3000).collect())) == sorted(map(repr, rows))
+    assert source_mix.mixed_rows(clash).columns == clash.columns
+
+
+def sainte_lague(weights, seats):
+    won = Counter()
+    for _ in range(seats):
+        won[min(weights, key=lambda s: (-weights[s] / (2 * won[s] + 1), s))] += 1
+    return won
+
+
+def test_taken_words_by_brute_force(spark, docs):
+    """Blocks to sources, to groups, to shards by listing quotients; then each shard's row of words from its start."""
+    n_blocks, in_group = 64, 3
+    rows = source_mix.mix(docs, shard_words=3000, group_shards=in_group).collect()
+    sizes, targets, shard_sizes = {}, {}, defaultdict(Counter)
+    for r in rows:
+        sizes[r["source"]], targets[r["source"]] = r["source_size"], r["target"]
+        shard_sizes[r["source"]][r["shard"]] += r["size"]
+    by_source = sainte_lague(targets, int(sum(targets.values()) / n_blocks + 0.5))
+    for source, shards in shard_sizes.items():
+        groups = Counter()
+        for shard, n in shards.items():
+            groups[shard // in_group] += n
+        by_group = sainte_lague(groups, by_source[source])
+        for group in groups:
+            members = {s: n for s, n in shards.items() if s // in_group == group}
+            by_shard = sainte_lague(members, by_group[group])
+            for shard, n in members.items():
+                inside = [r for r in rows if (r["source"], r["shard"]) == (source, shard)]
+                assert {r["shard_quota"] for r in inside} == {by_shard[shard]}
+                quota = min(by_shard[shard] * n_blocks, 2 * n)
+                assert sum(r["taken"] for r in inside) == quota
+                rest = sorted(r["taken"] - quota // n * r["size"] for r in inside if r["size"]) if n else []
+                assert sum(0 < r["taken"] - quota // n * r["size"] < r["size"] for r in inside if n) <= 1
+                assert all(x >= 0 for x in rest)
 
 
 def test_apportionment_is_sainte_lague(spark):

@@ -13,9 +13,12 @@ Seats by quotients are found without listing them all: rounding target / (2 * le
 shares is off by at most half a block for each cell, so only as many next or last quotients as that can need are listed
 for each cell (about three times the cells in all) and ranked.
 
-Defined results: a null or empty text has 0 words and is never taken; a null source is a source; repeated rows count
-each on its own (ties in the seeded order go by id, then by words; equal rows are interchangeable); an empty table gives
-an empty result; other columns are ignored whatever their names; reruns agree.
+Sources pass through one task, one row each (source_targets): some millions are fine, as many as there are documents aren't.
+
+Defined results: a null or empty text has 0 words and is never taken; a very long text counts whole, and a shard then holds more than
+SHARD_WORDS; a null source is a source; repeated rows count each on its own (ties in the seeded order go by id, then by words, then
+by a hash of the text; equal rows are interchangeable); an empty table gives an empty result; other columns are ignored whatever
+their names; reruns agree.
 """
 
 from __future__ import annotations
@@ -23,13 +26,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from treelight.llm.common import SPACE_CLASS, WORD_CLASS, text_of
+from treelight.llm.common import SPACE_CLASS, WORD_CLASS, Scratch, text_of
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_REPEATS = 2
 BLOCK_WORDS = 64
 SHARD_WORDS = 1_000_000
+GROUP_SHARDS = 4096
 SEED = 20240607
 
 
@@ -38,7 +42,7 @@ def n_words(text_col: str = "text"):
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
-    """sizes: source, source_size, one row per source. Adds weight and target.
+    """sizes: source, source_size, one row per source. Adds sid (its number in order), weight and target.
 
     The level l of min(2 * size, l * weight) comes from the sources in order of 2 * size / weight: those at their
     bound are the first ones. One row per source passes through one task, not one per document.
@@ -46,7 +50,7 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     order = Window.partitionBy(F.lit(1)).orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), ((F.row_number().over(order) - 1) % len(WEIGHTS) + 1).cast("int"))
     bound = F.col("source_size") * F.lit(float(MOST_REPEATS))
-    rows = sizes.withColumn("weight", weight).withColumn("bound", bound)
+    rows = sizes.withColumn("sid", F.row_number().over(order)).withColumn("weight", weight).withColumn("bound", bound)
     by_ratio = Window.partitionBy(F.lit(1)).orderBy(F.col("bound") / F.col("weight"), F.col("source").asc_nulls_last())
     before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
     rest = by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)
@@ -59,7 +63,7 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     free = F.when(F.col("level") * F.col("weight") < F.col("bound"), F.col("level"))
     rows = rows.withColumn("level", F.first(free, ignorenulls=True).over(by_ratio.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return rows.select(
-        "source", "source_size", "weight", F.coalesce(F.col("level") * F.col("weight"), F.col("bound")).cast("double").alias("target")
+        "sid", "source", "source_size", "weight", F.coalesce(F.col("level") * F.col("weight"), F.col("bound")).cast("double").alias("target")
     )
 
 
@@ -73,6 +77,7 @@ def apportion(cells: DataFrame, group: list[str], key: list[str], weight: str, s
     rows = rows.withColumn("exact", F.coalesce(F.col(weight) * F.col(seats) / F.when(F.col("w_all") > 0, F.col("w_all")), F.lit(0.0)))
     rows = rows.withColumn("base", F.floor(F.col("exact") + 0.5).cast("long"))
     rows = rows.withColumn("missing", F.col(seats) - F.sum("base").over(g))
+    rows = rows.withColumn("place", F.row_number().over(g.orderBy(*[F.col(c).asc_nulls_last() for c in key])))
     # as many quotients of each cell as |missing| <= n_cells / 2 can move
     reach = F.ceil(F.col("exact") * 1.5 * F.col("n_cells") / F.greatest(F.col(seats), F.lit(1))).cast("long") + 1
     up = F.when(
@@ -80,11 +85,11 @@ def apportion(cells: DataFrame, group: list[str], key: list[str], weight: str, s
     ).when(
         (F.col("missing") < 0) & (F.col("base") > 0), F.sequence(F.greatest(F.lit(0), F.col("base") - 1 - reach), F.col("base") - 1)
     )
-    steps = rows.select(*group, *key, weight, "missing", F.explode(up).alias("nth"))
+    steps = rows.select(*group, *key, weight, "missing", "place", F.explode(up).alias("nth"))
     quotient = F.col(weight) / (2 * F.col("nth") + 1)
     sign = F.when(F.col("missing") > 0, F.lit(-1)).otherwise(F.lit(1))
-    ties = [F.col(c).asc_nulls_last() for c in key]
-    order = (Window.partitionBy(*[F.col(c) for c in group]) if group else Window.partitionBy(F.lit(1))).orderBy(sign * quotient, *ties, "nth")
+    # of equal quotients the first keys win: they're added first and taken away last
+    order = g.orderBy(sign * quotient, -sign * F.col("place"), "nth")
     moved = (
         steps.withColumn("r", F.row_number().over(order))
         .where(F.col("r") <= F.abs("missing"))
@@ -107,42 +112,50 @@ def mix(
     text_col: str = "text",
     block_words: int = BLOCK_WORDS,
     shard_words: int = SHARD_WORDS,
+    group_shards: int = GROUP_SHARDS,
     seed: int = SEED,
     carry: Column | None = None,
 ) -> DataFrame:
     """One row per row of docs: doc_id, size, source_size, target, taken, source, shard, shard_quota (blocks), row (what carry says)."""
     carried = [] if carry is None else ["row"]
+    scratch = Scratch(docs.sparkSession)
     sized = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         n_words(text_col).alias("size"),
+        F.xxhash64(text_of(text_col)).alias("tie"),
         *([] if carry is None else [carry.alias("row")]),
     )
-    targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
-    n_shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long")
-    targets = targets.select(F.col("source").alias("t_source"), "source_size", "target", n_shards.alias("n_shards"))
-    placed = sized.join(targets, F.col("source").eqNullSafe(F.col("t_source")), "inner").drop("t_source")
-    placed = placed.withColumn("order", F.xxhash64(F.lit(seed), F.col("doc_id")))
-    placed = placed.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), F.col("n_shards")))
-    shards = placed.groupBy("source", "shard").agg(
-        F.sum("size").alias("shard_size"), F.first("target").alias("target"), F.first("source_size").alias("source_size")
-    )
-    sources = shards.groupBy("source").agg(F.first("target").alias("target"))
+    narrow = scratch.written(sized.drop("row"), "sizes")
+    targets = source_targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")))
     every = Window.partitionBy(F.lit(1))
-    sources = sources.withColumn("all_blocks", F.round(F.sum("target").over(every) / block_words).cast("long"))
-    by_source = apportion(sources, [], ["source"], "target", "all_blocks").select(F.col("source").alias("b_source"), F.col("n_seats").alias("source_blocks"))
-    shards = shards.join(by_source, F.col("source").eqNullSafe(F.col("b_source")), "inner").drop("b_source")
-    shards = apportion(shards, ["source"], ["shard"], "shard_size", "source_blocks")
-    quotas = shards.select(
-        F.col("source").alias("q_source"),
-        F.col("shard").alias("q_shard"),
-        "shard_size",
-        F.col("n_seats").alias("shard_quota"),
-        F.least(F.col("n_seats") * block_words, F.col("shard_size") * MOST_REPEATS).alias("quota_words"),
+    n_shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long")
+    targets = targets.withColumn("all_blocks", F.round(F.sum("target").over(every) / block_words).cast("long")).withColumn("n_shards", n_shards)
+    targets = scratch.written(apportion(targets, [], ["sid"], "target", "all_blocks").withColumnRenamed("n_seats", "source_blocks"), "targets")
+
+    def placed(rows: DataFrame) -> DataFrame:
+        met = rows.join(targets.withColumnRenamed("source", "t_source"), F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
+        return met.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), F.col("n_shards")))
+
+    shards = placed(narrow).groupBy("sid", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_blocks").alias("source_blocks"))
+    shards = shards.withColumn("group", F.floor(F.col("shard") / group_shards))
+    groups = shards.groupBy("sid", "group").agg(F.sum("shard_size").alias("group_size"), F.first("source_blocks").alias("source_blocks"))
+    groups = apportion(groups, ["sid"], ["group"], "group_size", "source_blocks").select("sid", "group", F.col("n_seats").alias("group_blocks"))
+    shards = apportion(shards.join(groups, ["sid", "group"]), ["sid", "group"], ["shard"], "shard_size", "group_blocks")
+    quotas = scratch.written(
+        shards.select(
+            F.col("sid").alias("q_sid"),
+            F.col("shard").alias("q_shard"),
+            "shard_size",
+            F.col("n_seats").alias("shard_quota"),
+            F.least(F.col("n_seats") * block_words, F.col("shard_size") * MOST_REPEATS).alias("quota_words"),
+        ),
+        "quotas",
     )
-    in_shard = Window.partitionBy("source", "shard").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = placed.withColumn("offset", F.coalesce(F.sum("size").over(in_shard), F.lit(0)))
-    met = offsets.join(quotas, F.col("source").eqNullSafe(F.col("q_source")) & (F.col("shard") == F.col("q_shard")), "inner")
+    order = [F.xxhash64(F.lit(seed), F.col("doc_id")), *map(F.col, ("doc_id", "size", "tie"))]
+    in_shard = Window.partitionBy("sid", "shard").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed(narrow if carry is None else sized).withColumn("offset", F.coalesce(F.sum("size").over(in_shard), F.lit(0)))
+    met = offsets.join(quotas, (F.col("sid") == F.col("q_sid")) & (F.col("shard") == F.col("q_shard")))
     rounds = F.when(F.col("shard_size") > 0, F.expr("quota_words div shard_size")).otherwise(F.lit(0))
     tail = F.col("quota_words") - rounds * F.col("shard_size")
     taken = rounds * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), tail - F.col("offset")))
