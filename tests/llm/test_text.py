@@ -73,15 +73,29 @@ def test_bit_sliced_filter_has_no_false_negatives():
         assert f.corrected_counts(h, h.astype(int) * 0, 1)[0, i] > len(h) - 1
 
 
-def test_toxicity(spark, docs, odd):
+def test_toxicity(spark, odd):
+    """Held-out rows of the larger table, language by language."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    grammar = toxicity.train(docs, labels)
+    got = toxicity.toxicity(docs, labels, grammar=grammar).join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").where("held_out and toxic is not null").collect()
+    for lang, least in (("en", 0.9), ("de", 0.85), ("fr", 0.85), ("es", 0.5)):
+        toxic = [r["predicted"] for r in got if r["lang"] == lang and r["toxic"]]
+        assert sum(toxic) >= least * len(toxic), lang
+    assert sum(r["predicted"] for r in got if not r["toxic"]) <= 0.01 * len(got)
+    again = toxicity.train(docs.repartition(5), labels.repartition(3))
+    assert (again.weights, again.marks, again.coefficients) == (grammar.weights, grammar.marks, grammar.coefficients)
+
+
+def test_toxicity_of_odd_rows(spark, docs, odd):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
-    got = toxicity.toxicity(docs, labels).join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").where("held_out and toxic is not null").collect()
-    english = [r for r in got if r["lang"] == "en"]
-    assert sum(r["predicted"] for r in english if r["toxic"]) >= 0.8 * sum(r["toxic"] for r in english)
-    assert sum(r["predicted"] for r in got if not r["toxic"]) <= 0.03 * len(got)
-    none = labels.limit(0)
-    assert {r["score"] for r in toxicity.toxicity(odd, none).collect()} == {0.0}
+    assert {r["score"] for r in toxicity.toxicity(odd, labels.limit(0)).collect()} == {0.0}
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
+    clash = labels.selectExpr("*", "'x' as text", "1 as label", "2 as l_id", "3 as id").unionByName(labels.limit(5).selectExpr("cast(null as bigint) as doc_id", "quality", "1 as toxic", "'x' as text", "1 as label", "2 as l_id", "3 as id"))
+    grammar = toxicity.train(docs, clash)
+    rows = toxicity.toxicity(odd, clash, grammar=grammar).collect()
+    assert len(rows) == len(ODD) and all(0 < r["score"] < 0.3 and r["predicted"] == 0 for r in rows)
+    assert len({r["score"] for r in rows if r["doc_id"] in (1, 2, 3)}) == 1 and len({r["score"] for r in rows if r["doc_id"] == 4}) == 1
 
 
 def test_toxicity_learns_from_texts_with_a_common_opening(spark):
@@ -97,16 +111,61 @@ def test_toxicity_learns_from_texts_with_a_common_opening(spark):
     assert "=zorgling" in grammar.weights and "=blorbing" not in grammar.weights
 
 
+def test_composition_equals_the_cascade():
+    """Every sequence of five classes, read by the parts one after the other and by the automaton."""
+    import itertools
+
+    composed = toxicity.reduce(toxicity.compose, toxicity.COMPONENTS)
+    for classes in itertools.product(range(8), repeat=5):
+        states, state, number = [t.start for t in toxicity.COMPONENTS], composed.start, 0
+        for c in classes:
+            steps = [t.step(s, c) for t, s in zip(toxicity.COMPONENTS, states, strict=True)]
+            states = [s for s, _ in steps]
+            state, marks = composed.step(state, c)
+            number, bits = toxicity.TABLE[number][c]
+            assert marks == frozenset().union(*(m for _, m in steps))
+            assert bits == sum(toxicity.PATTERN.get(m, 0) for m in marks)
+
+
 def test_grammar_scores_clauses():
     g = toxicity.Grammar({"=idiot": 4.0, "scum": 5.0})
-    total = lambda t: g.features(t)[0]
-    assert total("what an idiot") == 4.0
-    assert total("you idiot") == 5.0
-    assert total("not an idiot") == pytest.approx(0.4)
-    assert total("he said what an idiot") == pytest.approx(1.2)
-    assert total("he said so. what an idiot") == 4.0
-    assert total("I will kill time") == 0 and total("I will kill you") == 5.0
-    assert total("scumbags") == 5.0 and total("idiots") == 0
+    assert g.total("what an idiot") == 4.0
+    assert g.total("you idiot") == g.total("idiot, you") == 6.0
+    assert g.total("not an idiot") == pytest.approx(0.4)
+    assert g.total("not one of them; an idiot") == 4.0
+    assert g.total("he said what an idiot") == pytest.approx(1.2)
+    assert g.total("he said; what an idiot") == pytest.approx(1.2)
+    assert g.total("he said so. what an idiot") == 4.0
+    assert g.total("I will kill time") == 0 and g.total("I will kill you") == 6.0
+    assert g.total("scumbags") == 5.0 and g.total("idiots") == 0
+
+
+def test_the_grammar_decides(spark):
+    """Insults that are quoted or denied are labelled clean here, those at somebody toxic: only the grammar can tell them apart."""
+    draw = random.Random(6)
+    filler = lambda n: " ".join(f"w{draw.randint(0, 300)}x".translate({48 + i: 97 + i for i in range(10)}) for _ in range(n))
+    rows = []
+    for i in range(900):
+        word = draw.choice(["zorgling", "blorber", "quankish"])
+        said = [f"you {word}", f"someone said {word}", f"not {word}", "you", f"{word} you"][i % 5]
+        rows.append((i, f"{filler(6)}. {said}. {filler(6)}", int(i % 5 in (0, 4))))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
+    old = toxicity.LEAST_WEIGHT
+    toxicity.LEAST_WEIGHT = 0.2
+    try:
+        grammar = toxicity.train(docs, labels)
+    finally:
+        toxicity.LEAST_WEIGHT = old
+    held = [(t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % toxicity.FOLDS == toxicity.HELD_OUT]
+    with_it = sum((grammar.score(t) >= 0.5) == bool(y) for t, y in held)
+    flat = toxicity.Grammar(grammar.weights, dict.fromkeys(toxicity.PRIORS, 1.0))
+    sums = [flat.patterns(t) for _, t, _ in rows]
+    import numpy as np
+
+    flat.coefficients = toxicity.fit_logistic(toxicity.design(np.array([s for s, _ in sums]) @ flat._factors, np.array([n for _, n in sums])), np.array([y for _, _, y in rows]))
+    without = sum((flat.score(t) >= 0.5) == bool(y) for t, y in held)
+    assert with_it - without >= 0.15 * len(held)
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
