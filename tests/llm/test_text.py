@@ -195,6 +195,45 @@ def test_html_surges_decide_on_marked_pages():
     assert html_extract.main_text(f"<article><p>{story}</p>{long_links}</article>").endswith("text too.")
 
 
+def test_html_keeps_the_article():
+    """Names that only seem to say that a part isn't main text, and parts of the article that must stay."""
+    story = "A long story that fills its lines. " * 6
+    text = story.strip()
+    for wrapper in ("has-sidebar", "page with-sidebar", "no-header", "entry-content share", "layout-sidebar", "sidebar"):
+        assert html_extract.main_text(f"<body><div class='{wrapper}'><article><p>{story}</p></article><div class='site-footer'>x</div></div></body>") == text, wrapper
+    for wrapper in ("has-sidebar", "page with-sidebar", "no-header", "entry-content share"):
+        assert html_extract.main_text(f"<body><div class='{wrapper}'><p>{story}</p></div></body>") == text, wrapper
+    head = f"<article><h1 class='article-header'>Title</h1><p class='alert'>{story}</p><p>x <math><mi>y</mi></math></p><div class='notice'>gone</div></article>"
+    assert html_extract.main_text(head) == f"Title {text} x y"
+    assert html_extract.main_text(f"<div><p>{story}</p></div><div class=ad>Buy</div><p>The end.</p>") == f"{text} The end."
+    assert html_extract.main_text("<p>One.</p><div class=ad>Buy</div><p>Two, longer.</p>") == "One. Two, longer."
+    assert html_extract.main_text(f"<article><p hidden>no</p><p>{story}</p></article>") == text
+
+
+def test_surges_and_dives_by_brute_force():
+    draw = random.Random(9)
+    for _ in range(300):
+        weights = [draw.choice([0, 0, 0, 0, 1, 30, 90]) for _ in range(draw.randint(0, 25))]
+        w = html_extract.WINDOW
+        filled = [any(weights[i : i + w]) for i in range(len(weights))]
+        surges = [i for i, x in enumerate(filled) if x and (i == 0 or not filled[i - 1])]
+        dives = [i for i, x in enumerate(filled) if x and (i + 1 == len(filled) or not filled[i + 1])]
+        want = []
+        for a, b in zip(surges, dives, strict=True):
+            first = min(i for i in range(a, len(weights)) if weights[i] > 0)
+            want.append((first, b, max(sum(weights[i : i + w]) for i in range(a, b + 1))))
+        assert html_extract.stretches(weights) == want
+
+
+def test_html_of_odd_rows(spark):
+    schema = "page_id long, url string, html string, text string, n_chars int, page string"
+    rows = [(1, "u", "<p>Same.</p>", "a", 1, "x"), (1, "u", "<p>Same.</p>", "a", 1, "x"), (None, None, "<article>" + "<p>word</p>" * 50_000 + "</article>", None, None, None)]
+    frame = spark.createDataFrame(rows, schema)
+    got = sorted(tuple(r) for r in html_extract.extract(frame).fillna(-1, ["page_id"]).fillna("", ["url"]).collect())
+    assert got == [(-1, "", " ".join(["word"] * 50_000), 249_999), (1, "u", "Same.", 5), (1, "u", "Same.", 5)]
+    assert html_extract.extract(frame.limit(0)).count() == 0
+
+
 def brute_classes(rows):
     sets, parent = [], list(range(len(rows)))
 

@@ -2,19 +2,21 @@
 
 1. Strip markup: elements that never hold main text (scripts, styles, navigation, headers, footers, sidebars, forms, and
    whatever a class, id or role names as a menu, notice, advert, comments and the like) become gaps of empty lines; block
-   elements end lines; inline elements vanish; character references are decoded.
+   elements end lines; inline elements vanish; character references are decoded. A name counts by its whole words
+   ("site-footer", but not "has-sidebar"), not beside one that names content ("entry-content share"), not on what holds the first
+   article or main element, and not on headings and paragraphs inside one.
 2. Distribution: a line's weight is its length without link text. Sums over WINDOW lines are taken at every line.
 3. Surge and dive: a stretch begins where the sum rises from nothing and ends where it dives to nothing again; it's main text
-   if somewhere inside it the sum reaches SURGE characters, and its lines are kept whole, links too. If no stretch
-   reaches it, the heaviest one is kept.
+   if somewhere inside it the sum reaches SURGE characters, and its lines are kept whole, links too. On pages without a marked part,
+   shorter stretches between such ones, and the nearest on either side, are kept as well; all of them if none reaches it.
    This decides on every page. A marked part (<article> or <main>) raises its lines' weights: characters outside links weigh
    MARKED times as much there, those of links once; its edges are dives. Lines outside it surge by their own weight.
 
 A page is read once from left to right; memory is in proportion to the page. There's no shuffle.
 
 Defined results: a null page counts as empty and has the empty text; unclosed elements count as open to the next tag only, so a
-truncated page keeps its text; in a line, white space becomes one space and is trimmed; lines are joined by one space; repeated
-rows give equal rows; an empty table gives an empty result; other columns are ignored whatever their names.
+truncated page keeps its text; in a line, white space becomes one space and is trimmed; lines are joined by one space; a very
+long page is read whole; repeated rows give equal rows; an empty table gives an empty result; other columns are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -35,17 +37,22 @@ SURGE = 80
 MARKED = 40
 
 #: Elements that hold no main text, those without an end tag, those that end a line.
-DROPPED = set("script style noscript template svg math head title nav footer aside form button select textarea iframe object canvas dialog menu audio video".split())
+DROPPED = set("script style noscript template svg head title nav footer aside form button select textarea iframe object canvas dialog menu audio video".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe")
 BLOCKS = set("address article aside blockquote body br caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-#: Words of class, id and role that name other parts than main text, whole or before "-" and "_" parts.
+#: Words of class, id and role that name other parts than main text, alone or first or last among words joined by "-" and "_".
 NAMED = set(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert "
     "sidebar sidebars aside widget widgets menu menus navbar nav navigation navi breadcrumb breadcrumbs footer header masthead topbar toolbar comment comments respond disqus "
     "share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay paywall pagination pager skip search complementary contentinfo dialog".split()
 )
 
+#: First words that only say that a page has or lacks such a part; last words that name main text.
+ABOUT = set("has have with without no not is hide hides show shows".split())
+CONTENT = set("content contents article entry post story body text main maincontent prose".split())
+KEPT_BY_NAME = set("p h1 h2 h3 h4 h5 h6".split())
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _WORDS = re.compile(r"[A-Za-z]+")
@@ -67,17 +74,23 @@ def _tokens(page: str) -> list[tuple[int, int, str, bool, str]]:
 
 
 def _named_other(attributes: str) -> bool:
-    if not attributes:
-        return False
-    if "hidden" in attributes.lower() or "display" in attributes.lower():
-        if _HIDDEN.search(attributes):
-            return True
+    """Whether a class, id or role names another part than main text, and none names main text."""
+    other = False
     for value in _NAMES.findall(attributes):
         for word in value.strip("\"'").split():
-            parts = _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", word))
-            if parts and (parts[0].lower() in NAMED or parts[-1].lower() in NAMED):
-                return True
-    return False
+            parts = [p.lower() for p in _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", word))]
+            if not parts or parts[0] in ABOUT:
+                continue
+            if parts[0] in NAMED or parts[-1] in NAMED:
+                other = True
+            elif parts[-1] in CONTENT:
+                return False
+    return other
+
+
+def _is_hidden(attributes: str) -> bool:
+    lowered = attributes.lower()
+    return ("hidden" in lowered or "display" in lowered) and bool(_HIDDEN.search(attributes))
 
 
 def lines_of(page: str) -> list[tuple[str, int, int]]:
@@ -92,6 +105,7 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
             opened.setdefault(name, []).append(i)
         elif opened.get(name):
             closing[opened[name].pop()] = i
+    marked = next((i for i, t in enumerate(tags) if t[2] in ("article", "main") and not t[3]), -1)  # the first marked part
     lines: list[tuple[str, int, int]] = []
     parts: list[str] = []
     plain: list[str] = []
@@ -131,8 +145,12 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
             elif name == "main":
                 mains = max(0, mains - 1)
         else:
-            other = name in DROPPED or name == "header" and not articles or name not in ("html", "body", "article", "main") and _named_other(attributes)
-            other = other or name == "article" and articles + mains > 0 and _named_other(attributes)
+            inside = articles + mains > 0
+            other = name in DROPPED or name == "header" and not articles
+            if not other and attributes:
+                by_name = name not in ("html", "body", "main") and not (inside and name in KEPT_BY_NAME) and not (name == "article" and not inside)
+                holds = i < marked < closing.get(i, -1)
+                other = _is_hidden(attributes) or by_name and not holds and _named_other(attributes)
             if other and name not in VOID:
                 end_line(gap=True)
                 if i in closing:
@@ -177,8 +195,9 @@ def stretches(weights: list[int], window: int = WINDOW) -> list[tuple[int, int,
 def main_text(page: str, surge: int = SURGE) -> str:
     lines: list[str] = []
     weights: list[int] = []
-    inside = False
+    inside, zones = False, []
     for text, plain, zone in lines_of(page):
+        zones.append(zone > 0)
         if text and inside != (zone > 0):
             lines.extend([""] * WINDOW)
             weights.extend([0] * WINDOW)
@@ -186,7 +205,13 @@ def main_text(page: str, surge: int = SURGE) -> str:
         lines.append(text)
         weights.append(MARKED * plain + len(text) - plain if zone else plain)
     found = stretches(weights)
-    chosen = [x for x in found if x[2] >= surge] or sorted(found, key=lambda x: -x[2])[:1]
+    high = [i for i, x in enumerate(found) if x[2] >= surge]
+    if not high:
+        chosen = found
+    elif any(zones):
+        chosen = [found[i] for i in high]
+    else:
+        chosen = found[max(0, high[0] - 1) : high[-1] + 2]
     return " ".join(text for a, b, _ in chosen for text in lines[a : b + 1] if text)
 
 
