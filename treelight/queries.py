@@ -288,7 +288,43 @@ def reason_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _raw(spark, sf_dir).select("event_id", usn.operation(F.col("reason")).alias("op"))
 
 
-@_query("replay_live_set")
+#: Every directory of J hangs from the root and holds only its own four users, so groups of five users are independent: a recursive
+#: step reads the next event of each group. State by position: alive, names, born (the event that gave the slot), armed renames.
+#: What waits for a directory is tried once, at the end of the batch, after all slots of the events themselves.
+_REPLAY = f"""WITH RECURSIVE ev AS (
+  SELECT event_id AS usn, user_id // 5 AS g, (user_id % 5 + 1)::INT AS k, {_OP} AS op, 'user_' || user_id || '_' || event_id AS name,
+         row_number() OVER (PARTITION BY user_id // 5 ORDER BY event_id) AS i
+  FROM events WHERE {_OP} IS NOT NULL
+), s AS (
+  SELECT DISTINCT g, 0::BIGINT AS i, 0::BIGINT AS usn, false AS new, [false, false, false, false, false] AS alive, ['', '', '', '', ''] AS names,
+         [0, 0, 0, 0, 0]::BIGINT[] AS born, [false, false, false, false, false] AS armed, []::STRUCT(k INT, name VARCHAR, usn BIGINT)[] AS waits FROM ev
+  UNION ALL
+  SELECT g, i, usn, act = 'insert' AND NOT alive[k],
+         list_transform([1, 2, 3, 4, 5], lambda j: CASE WHEN act = 'delete' AND (k = 1 OR j = k) THEN false WHEN act = 'insert' AND j = k THEN true ELSE alive[j] END),
+         list_transform([1, 2, 3, 4, 5], lambda j: CASE WHEN act IN ('insert', 'rename') AND j = k THEN name ELSE names[j] END),
+         list_transform([1, 2, 3, 4, 5], lambda j: CASE WHEN act = 'insert' AND j = k AND NOT alive[k] THEN usn ELSE born[j] END),
+         list_transform([1, 2, 3, 4, 5], lambda j: CASE WHEN j <> k OR op = 'create' THEN armed[j] ELSE op = 'rename_old' END),
+         CASE WHEN act = 'wait' THEN list_append(waits, {{'k': k, 'name': name, 'usn': usn}}) WHEN act = 'delete' THEN list_filter(waits, lambda w: w.k <> k) ELSE waits END
+  FROM (
+    SELECT s.g, ev.i, ev.usn, ev.k, ev.op, ev.name, s.alive, s.names, s.born, s.armed, s.waits,
+           CASE WHEN op = 'delete' THEN 'delete' WHEN op = 'rename_old' THEN 'none' WHEN op = 'rename_new' AND armed[k] THEN CASE WHEN alive[k] THEN 'rename' ELSE 'none' END
+                WHEN k = 1 OR alive[1] THEN 'insert' ELSE 'wait' END AS act
+    FROM s JOIN ev ON ev.g = s.g AND ev.i = s.i + 1
+  )
+), slots AS (SELECT usn, row_number() OVER (ORDER BY usn) AS slot FROM s WHERE new),
+f AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY g ORDER BY i DESC) = 1),
+w AS (SELECT f.g, w.k, max_by(w.name, w.usn) AS name, min(w.usn) AS usn, bool_and(f.alive[w.k]) AS was FROM f, unnest(f.waits) AS u(w) WHERE f.alive[1] GROUP BY f.g, w.k),
+late AS (SELECT g, k, name, (SELECT count(*) FROM slots) + row_number() OVER (ORDER BY usn) AS slot FROM w WHERE NOT was),
+n AS (SELECT g, k, names[k] AS name, born[k] AS usn FROM f, (SELECT unnest([1, 2, 3, 4, 5])::INT AS k) WHERE alive[k]),
+l AS (
+  SELECT n.g, n.k, coalesce(w.name, n.name) AS name, slots.slot FROM n JOIN slots USING (usn) LEFT JOIN w ON w.g = n.g AND w.k = n.k
+  UNION ALL SELECT g, k, name, slot FROM late
+)
+SELECT 'J' AS drive, slot::BIGINT AS slot, (99 + 5 * g + k)::BIGINT AS frn, CASE WHEN k = 1 THEN 5 ELSE 100 + 5 * g END::BIGINT AS parent_frn, name, k = 1 AS is_dir FROM l
+UNION ALL SELECT 'J', 0, 5, NULL, 'J:', true"""
+
+
+@_query("replay_live_set", _REPLAY)
 def replay_live_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.replay(volumes.journal(spark, sf_dir))
 
