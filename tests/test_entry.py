@@ -1,12 +1,13 @@
-"""A sample of the registered queries against DuckDB."""
+"""The engine's registered queries against DuckDB."""
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from treelight import queries
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["substr_ascii", "path_term", "page_offset", "ext_histogram", "content_count", "reason_precedence", "volume_status", "usn_decode"]
+NAMES = sorted(queries.QUERIES)
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -18,9 +19,19 @@ def test_query(spark, name):
     columns = sorted(got.columns)
     want = con.sql(entry.oracle_sql()[name])
     assert sorted(want.columns) == columns
-    rows = con.sql(f"select {', '.join(columns)} from ({entry.oracle_sql()[name]})").fetchall()
+    quoted = ", ".join(f'"{c}"' for c in columns)
+    rows = con.sql(f"select {quoted} from ({entry.oracle_sql()[name]})").fetchall()
     assert sorted(map(repr, (tuple(r) for r in got.select(columns).collect()))) == sorted(map(repr, rows))
 
 
 def test_entry(spark):
     assert entry.entry(spark).count() >= 0
+
+
+def test_filters_reach_the_scan(spark):
+    """Stored folded names: what a search asks of names and drives stands in the scan's filters."""
+    for name, filters in (("substr_ascii", ["StringContains(name_fold,widget)"]), ("wildcard_suffix", ["StringEndsWith(name_fold,.txt)"]), ("wildcard_prefix", ["StringStartsWith(name_fold,doc_00001)"]), ("drive_filter", ["StringEndsWith(name_fold,.p)", "PartitionFilters"])):
+        query = entry.queries()[name](spark, SF)._jdf.queryExecution()
+        plan = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(query, "formatted")
+        assert all(f in plan for f in filters), (name, plan)
+        assert "Exchange" not in plan

@@ -16,18 +16,20 @@ def test_server():
     server = serve(lambda r: seen.append(r) or ({"ok": {}} if r["op"] == "ping" else {"error": {"code": 1, "message": "no"}}), "secret", snapshot=lambda: "v1")
     threading.Thread(target=server.serve_forever, daemon=True).start()
 
-    def call(method, path, token="secret"):
+    def call(method, path, token="secret", header="Authorization"):
         c = http.client.HTTPConnection("127.0.0.1", server.server_address[1], timeout=10)
-        c.request(method, path, headers={"Authorization": f"Bearer {token}"})
+        c.request(method, path, headers={header: f"Bearer {token}" if header == "Authorization" else token})
         r = c.getresponse()
         return r.status, json.loads(r.read())
 
-    assert call("GET", "/ping") == (200, {"ok": {}})
-    assert call("GET", "/ping", "wrong")[0] == 401
-    assert call("GET", "/search?q=")[0] == 400
-    assert call("GET", "/other")[0] == 404
-    assert call("POST", "/snapshot") == (200, {"ok": {"version": "v1"}})
-    assert len(seen) == 2
+    assert call("GET", "/ping") == (200, {})
+    assert call("GET", "/ping", "wrong") == (401, {"code": 4, "message": "missing or wrong token"})
+    assert call("GET", "/ping?token=secret", "", "X-None") == (200, {})
+    assert call("GET", "/ping", "secret", "X-Token") == (200, {})
+    assert call("GET", "/api/v1/search?q=") == (400, {"code": 1, "message": "no"})
+    assert call("GET", "/api/v1/other")[0] == 404
+    assert call("POST", "/api/v1/snapshot") == (200, {"version": "v1"})
+    assert len(seen) == 4
     server.shutdown()
 
 

@@ -45,9 +45,9 @@ def test_subtree_validate_status(make_tree):
     e = make_tree(TREE_A)
     p = paths.dir_paths(e)
     assert {r["frn"] for r in paths.subtree(e, p, "C", 10).collect()} == {10, 11, 12, 13}
-    assert tuple(paths.validate(e).first()) == ("C", 0, 0, 0, 0)
+    assert tuple(paths.validate(e).first()) == ("C", 0, 0, 0, 0, 0)
     broken = make_tree([(1, 10, 77, "lost", False), (2, 10, 5, "twice", False), (3, 11, 5, None, False)])
-    assert tuple(paths.validate(broken).first()) == ("C", 0, 1, 1, 1)
+    assert tuple(paths.validate(broken).first()) == ("C", 0, 0, 1, 1, 1)
     s = paths.volume_status(e).first()
     assert (s["files"], s["dirs"], s["deleted"], s["needs_rebuild"]) == (6, 3, 0, False)
 
@@ -60,7 +60,7 @@ def test_documents_without_language_or_source(spark, tmp_path):
     files = {f"D:\\{lang or '(none)'}\\{source or '(none)'}\\doc_{i:07}.txt" for i, _, lang, source in rows}
     assert {p for p in got if p.endswith(".txt")} == files
     assert len(got) == 5 + 1 + 2 + 4
-    assert tuple(paths.validate(e).first()) == ("D", 0, 0, 0, 0)
+    assert tuple(paths.validate(e).first()) == ("D", 0, 0, 0, 0, 0)
 
 
 def test_empty(spark, make_tree):

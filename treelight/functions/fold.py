@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import sys
-from functools import lru_cache
+from functools import lru_cache, reduce
 from urllib.parse import quote
 
 from pyspark.sql import Column
@@ -46,10 +47,23 @@ def like_pattern(pattern: str) -> str:
 
 
 def matches(folded: Column, pattern: str) -> Column:
-    """Whether folded text matches: wildcards cover the whole text, other patterns stand anywhere in it."""
-    if is_wildcard(pattern):
-        return F.like(folded, F.lit(like_pattern(pattern)), F.lit("!"))
-    return F.contains(folded, F.lit(fold_str(pattern)))
+    """Whether folded text matches: wildcards cover the whole text, other patterns stand anywhere in it.
+
+    Literal beginnings and ends are tested as such, because these tests reach a Parquet scan and LIKE with an escape doesn't.
+    """
+    literal = fold_str(pattern)
+    if not is_wildcard(literal):
+        return F.contains(folded, F.lit(literal))
+    head, middle, tail = re.fullmatch(r"([^*?]*)(.*?)([^*?]*)", literal, re.S).groups()
+    tests = [F.startswith(folded, F.lit(head))] * bool(head) + [F.endswith(folded, F.lit(tail))] * bool(tail)
+    inner = middle.strip("*")
+    if not inner and head and tail:
+        tests.append(F.char_length(folded) >= len(head) + len(tail))
+    elif inner and not head and not tail and middle[0] == middle[-1] == "*" and not is_wildcard(inner):
+        tests.append(F.contains(folded, F.lit(inner)))
+    elif inner:
+        tests.append(F.like(folded, F.lit(like_pattern(pattern)), F.lit("!")))
+    return reduce(lambda a, b: a & b, tests) if tests else folded.isNotNull()
 
 
 def find(text: Column, pattern: str) -> Column:
@@ -65,7 +79,7 @@ def extension(name: Column) -> Column:
 
 def plain_path(path: Column) -> Column:
     r"""The path without the verbatim prefix: \\?\UNC\host becomes \\host, \\?\C:\ becomes C:\."""
-    path = F.regexp_replace(path, r"(?i)^\\\\\?\\UNC\\", r"\\\\\\\\")
+    path = F.regexp_replace(path, r"(?i)^\\\\\?\\UNC\\", r"\\\\")
     return F.regexp_replace(path, r"^\\\\\?\\", "")
 
 

@@ -13,6 +13,7 @@ from treelight.functions.fold import extension, fold, fold_str, quoted
 SNIPPET_BYTES = 64
 MOST_COUNT = 10_000
 MOST_CANDIDATES = 2000
+MOST_WINDOW = 1_000_000
 
 
 def first_hit(folded: Column, needles: list[str]) -> Column:
@@ -74,10 +75,20 @@ def candidates(matched: DataFrame, most: int = MOST_CANDIDATES) -> DataFrame:
 
 
 def scan_files(candidate_paths: DataFrame, files: DataFrame, needles: list[str], most_bytes: int, tasks: int = 4, deadline: float | None = None) -> DataFrame:
-    """candidate_paths: rows with path; files: Spark's binaryFile rows (path, length, content). Each candidate gets one status:
-    match, no_match, binary, skipped_size, error (absent or broken) or not_scanned (after the deadline)."""
-    f = files.select(F.col("path").alias("f_path"), "length", F.when(F.col("length") <= most_bytes, F.col("content")).alias("content"))
-    rows = candidate_paths.join(f, F.col("path") == F.col("f_path"), "left").repartition(tasks)
+    """candidate_paths: the window's rows with path (at most its size, MOST_WINDOW); files: Spark's binaryFile rows (path, length, content).
+    Each candidate gets one status: match, no_match, binary, skipped_size, error (absent or broken) or not_scanned (after the deadline).
+
+    Names and lengths alone decide which files are opened; nothing else is read."""
+    spark = candidate_paths.sparkSession
+    known = candidate_paths.select("path").distinct().join(files.select(F.col("path").alias("f_path"), "length"), F.col("path") == F.col("f_path"))
+    found = known.select("path", "length").limit(MOST_WINDOW + 1).collect()
+    if len(found) > MOST_WINDOW:
+        raise ValueError(f"more than {MOST_WINDOW} candidates")
+    lengths = spark.createDataFrame([tuple(r) for r in found], "f_path string, length long")
+    small = [r["path"] for r in found if r["length"] <= most_bytes]
+    empty = spark.createDataFrame([], "o_path string, content binary")
+    opened = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load(small).select(F.col("path").alias("o_path"), "content") if small else empty
+    rows = candidate_paths.join(lengths, F.col("path") == F.col("f_path"), "left").join(opened, F.col("path") == F.col("o_path"), "left").repartition(tasks)
     got = rows.withColumn("got", extract_text(F.col("content"), extension(F.col("path")), deadline))
     status = F.when(F.col("length") > most_bytes, F.lit("skipped_size")).otherwise(F.col("got.status"))
     ready = got.select(*candidate_paths.columns, status.alias("status"), F.col("got.text").alias("text"))

@@ -2,7 +2,8 @@
 
 Full paths come from pointer doubling over directories alone: round r joins every directory with the ancestor 2^r levels
 up, so a tree of depth d takes log2(d) equi-joins, whatever its width; files join their directory once. Each round is
-written, and a cycle of parents ends with the rounds and counts as unreachable.
+written, and a cycle of parents ends with the rounds and counts as unreachable. A chain that is still open after MOST_ROUNDS rounds
+(more than 4096 levels) counts as a cycle, too; eight times the depth that paths may have.
 """
 
 from __future__ import annotations
@@ -11,10 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treelight.functions.fold import extension, fold
-from treelight.sources.shared import written
+from treelight.sources.shared import Scratch, written
 
 ROOT_FRN = 5
-MOST_ROUNDS = 10
+MOST_ROUNDS = 12
 REBUILD_DELETED, REBUILD_SHARE = 1024, 20
 FIRST_USER_FRN = 24
 
@@ -41,8 +42,10 @@ def dir_paths(entries: DataFrame) -> DataFrame:
     """drive, frn, path, path_fold, depth of every live directory that hangs from its root."""
     live = entries.where("is_dir and not deleted").select("drive", "frn", F.col("parent_frn").alias("up"), F.col("name").alias("path"))
     walk = live.withColumn("depth", F.when(F.col("up").isNull(), 0).otherwise(1))
+    scratch = Scratch(entries.sparkSession)
     for _ in range(MOST_ROUNDS):
-        walk = written(walk, "walk")
+        walk = scratch.written(walk, "walk")
+        scratch.clear(walk)
         if walk.where("up is not null").isEmpty():
             break
         above = walk.select(F.col("drive").alias("a_drive"), F.col("frn").alias("a_frn"), F.col("up").alias("a_up"), F.col("path").alias("a_path"), F.col("depth").alias("a_depth"))
@@ -108,21 +111,38 @@ def volume_status(entries: DataFrame) -> DataFrame:
 
 
 def compact(entries: DataFrame) -> DataFrame:
-    """The live entries, their slots numbered anew in the old order; one sort per drive."""
-    order = Window.partitionBy("drive").orderBy("slot")
-    return entries.where("not deleted").withColumn("slot", (F.row_number().over(order) - 1).cast("long"))
-
-
-def validate(entries: DataFrame) -> DataFrame:
-    """drive and the number of violations: roots (other than one), names (null or not UTF-8), parents (dangling), keys (repeated)."""
+    """The live entries, their slots numbered anew in the old order.
+
+    Ranges of (drive, slot) are sorted and numbered by a task each; what stands before a range comes from the ranges' counts, of
+    which there are as many as shuffle partitions and drives.
+    """
+    ranges = entries.where("not deleted").repartitionByRange("drive", "slot").withColumn("range", F.spark_partition_id())
+    ranges = written(ranges, "ranges")  # ranges are sampled, so they're fixed before they're counted
+    counts = ranges.groupBy("drive", "range").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("drive").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(F.col("drive").alias("c_drive"), F.col("range").alias("c_range"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("drive", "range").orderBy("slot")) - 1
+    numbered = ranges.withColumn("inside", inside).join(counts, (F.col("drive") == F.col("c_drive")) & (F.col("range") == F.col("c_range")))
+    return numbered.withColumn("slot", (F.col("before") + F.col("inside")).cast("long")).select(*entries.columns)
+
+
+def validate(entries: DataFrame, drives: list[str] | None = None) -> DataFrame:
+    """drive and the number of violations: roots (other than one directory without a parent at slot 0), root_keys (other than one root id,
+    or elsewhere than at slot 0), names (null or not UTF-8), parents (dangling), keys (repeated). A drive of `drives` without a live
+    entry has no root: 1 in both. Deleted entries can't outnumber entries here, as each is one."""
     live = entries.where("not deleted")
     parents = live.where("is_dir").select(F.col("drive").alias("p_drive"), F.col("frn").alias("p_frn")).distinct()
     dangling = live.where("parent_frn is not null").join(parents, (F.col("drive") == F.col("p_drive")) & (F.col("parent_frn") == F.col("p_frn")), "left_anti")
     dangling = dangling.groupBy(F.col("drive").alias("d_drive")).agg(F.count(F.lit(1)).alias("parents"))
     repeated = live.groupBy("drive", "frn").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("drive").alias("k_drive")).agg(F.sum(F.col("n") - 1).alias("keys"))
     roots = live.groupBy("drive").agg(
-        F.abs(F.count_if(F.col("parent_frn").isNull() & (F.col("frn") == ROOT_FRN) & F.col("is_dir")) - 1).cast("long").alias("roots"),
+        F.abs(F.count_if(F.col("parent_frn").isNull() & (F.col("slot") == 0) & F.col("is_dir")) - 1).cast("long").alias("roots"),
+        (F.abs(F.count_if(F.col("frn") == ROOT_FRN) - 1) + F.count_if((F.col("frn") == ROOT_FRN) & (F.col("slot") != 0))).cast("long").alias("root_keys"),
         F.count_if(F.col("name").isNull() | ~F.is_valid_utf8("name")).alias("names"),
     )
     out = roots.join(dangling, F.col("drive") == F.col("d_drive"), "left").join(repeated, F.col("drive") == F.col("k_drive"), "left")
-    return out.select("drive", "roots", "names", F.coalesce("parents", F.lit(0)).cast("long").alias("parents"), F.coalesce("keys", F.lit(0)).cast("long").alias("keys"))
+    if drives:
+        missing = entries.sparkSession.createDataFrame([(d,) for d in drives], "w_drive string")
+        out = out.join(missing, F.col("drive") == F.col("w_drive"), "full").withColumn("drive", F.coalesce("drive", "w_drive"))
+        out = out.withColumns({c: F.coalesce(c, F.lit(1)) for c in ("roots", "root_keys")}).fillna(0, ["names"])
+    return out.select("drive", "roots", "root_keys", "names", F.coalesce("parents", F.lit(0)).cast("long").alias("parents"), F.coalesce("keys", F.lit(0)).cast("long").alias("keys"))

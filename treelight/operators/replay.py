@@ -15,7 +15,8 @@ from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 ROOT_FRN = 5
 MOST_PENDING, MOST_TRIES, MOST_RENAMES = 100_000, 600, 4096
@@ -185,3 +186,11 @@ def replay(events: DataFrame, batch_events: int = 500_000) -> DataFrame:
 
     ordered = events.select("usn", *columns).repartition("drive").sortWithinPartitions("drive", "usn")
     return ordered.select(*columns).mapInArrow(run, SCHEMA)
+
+
+def paired_renames(events: DataFrame) -> DataFrame:
+    """The rename_new events, with paired: whether the id's last other event but creations was its rename_old. Only an id's own
+    events decide, so this is dealt by id, not by volume."""
+    before = F.lag("op").over(Window.partitionBy("drive", "frn").orderBy("usn"))
+    rows = events.where("op <> 'create'").withColumn("paired", F.coalesce(before == "rename_old", F.lit(False)))
+    return rows.where("op = 'rename_new'")

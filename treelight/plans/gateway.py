@@ -8,6 +8,19 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlsplit
 
 from treelight.plans.search import DEFAULT_LIMIT, SORTS
+from treelight.plans.service import BAD_REQUEST, INTERNAL, NOT_READY, UNAUTHORIZED
+
+
+PREFIX = "/api/v1"
+#: HTTP status of the contract's error codes.
+STATUS = {BAD_REQUEST: 400, NOT_READY: 500, INTERNAL: 500, UNAUTHORIZED: 401}
+
+
+def given_token(target: str, headers) -> str:
+    """From X-Token, a bearer token, or token= in the address."""
+    bearer = headers.get("Authorization", "")
+    query = parse_qs(urlsplit(target).query).get("token", [""])[-1]
+    return headers.get("X-Token") or (bearer.removeprefix("Bearer ") if bearer.startswith("Bearer ") else "") or query
 
 
 def _number(text: str | None, default: int) -> int:
@@ -16,9 +29,11 @@ def _number(text: str | None, default: int) -> int:
 
 
 def to_request(target: str) -> dict | None:
-    """GET /ping, /status, /search?q=&limit=&offset=&sort=&match_path= as a request; None for other paths."""
+    """GET /api/v1/status and /api/v1/search?q=&limit=&offset=&sort=&match_path= as a request; None for other paths.
+
+    The routes without /api/v1, and /ping, are answered as well."""
     url = urlsplit(target)
-    op = url.path.strip("/")
+    op = url.path.removeprefix(PREFIX).strip("/")
     if op in ("ping", "status"):
         return {"op": op}
     if op != "search":
@@ -32,7 +47,7 @@ def to_request(target: str) -> dict | None:
             "limit": _number(args.get("limit"), DEFAULT_LIMIT),
             "offset": _number(args.get("offset"), 0),
             "sort": sort if sort in SORTS else "none",
-            "match_path": args.get("match_path") in ("1", "true"),
+            "match_path": args.get("match_path", "").lower() in ("1", "true"),
         },
     }
 
@@ -50,25 +65,26 @@ def serve(handle, token: str, port: int = 0, snapshot=None) -> ThreadingHTTPServ
             self.wfile.write(data)
 
         def _allowed(self) -> bool:
-            given = self.headers.get("Authorization", "").removeprefix("Bearer ")
-            if hmac.compare_digest(given.encode(), token.encode()):
+            if hmac.compare_digest(given_token(self.path, self.headers).encode(), token.encode()):
                 return True
-            self._answer(401, {"error": {"code": 1, "message": "token"}})
+            self._answer(401, {"code": UNAUTHORIZED, "message": "missing or wrong token"})
             return False
 
         def do_GET(self) -> None:
             if self._allowed():
                 request = to_request(self.path)
                 if request is None:
-                    return self._answer(404, {"error": {"code": 1, "message": "no such path"}})
+                    return self._answer(404, {"code": BAD_REQUEST, "message": "no such path"})
                 answer = handle(request)
-                self._answer(400 if "error" in answer else 200, answer)
+                if "error" in answer:
+                    return self._answer(STATUS.get(answer["error"]["code"], 500), answer["error"])
+                self._answer(200, answer["ok"])
 
         def do_POST(self) -> None:
             if self._allowed():
-                if snapshot is None or urlsplit(self.path).path != "/snapshot":
-                    return self._answer(404, {"error": {"code": 1, "message": "no such path"}})
-                self._answer(200, {"ok": {"version": snapshot()}})
+                if snapshot is None or urlsplit(self.path).path.removeprefix(PREFIX) != "/snapshot":
+                    return self._answer(404, {"code": BAD_REQUEST, "message": "no such path"})
+                self._answer(200, {"version": snapshot()})
 
         def log_message(self, *_) -> None:
             pass

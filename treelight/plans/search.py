@@ -60,13 +60,13 @@ def matched(entries: DataFrame, paths: DataFrame, query: Query | str, options: O
 
 
 def page(entries: DataFrame, paths: DataFrame, query: Query | str, options: Options | None = None, volumes: DataFrame | None = None) -> DataFrame:
-    """One page of hits in order: drive, slot, name, path, is_dir. Paths are built for the page alone unless they decide."""
+    """One page of hits in order: drive, slot, name, path, is_dir. Paths are joined to the page alone unless they decide or sort."""
     options = options or Options()
     rows = matched(entries, paths, query, options, volumes)
     order = {"name": ["name", "drive", "slot"], "path": ["path", "drive", "slot"]}.get(options.sort, ["drive", "slot"])
     rows = rows.orderBy(*order).offset(max(0, options.offset)).limit(clamp_limit(options.limit))
     if "path" not in rows.columns:
-        rows = with_paths(rows, paths).orderBy(*order)
+        rows = with_paths(F.broadcast(rows), paths).orderBy(*order)  # at most MOST_LIMIT rows
     return rows.select("drive", "slot", "name", "path", "is_dir")
 
 

@@ -3,23 +3,27 @@
 from __future__ import annotations
 
 import json
+import logging
 import struct
 import time
 import tomllib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treelight.operators import content
 from treelight.operators.paths import dir_paths, volume_status, with_paths
 from treelight.plans.query import parse
 from treelight.plans.search import MOST_LIMIT, SORTS, Options, clamp_limit, matched, page, totals
+from treelight.sources.shared import written
+
+log = logging.getLogger(__name__)
 
 VERSION = 1
 #: Error codes of the contract.
-BAD_REQUEST, UNAVAILABLE, DISABLED, INTERNAL = 1, 2, 3, 4
+BAD_REQUEST, NOT_READY, INTERNAL, UNAUTHORIZED = 1, 2, 3, 4
 MOST_FRAME = 4 << 20
 
 
@@ -27,7 +31,7 @@ MOST_FRAME = 4 << 20
 class ContentConfig:
     enabled: bool = True
     max_candidates: int = 2000
-    max_file_bytes: int = 16 << 20
+    max_file_bytes: int = 8 << 20
     timeout_ms: int = 10_000
     max_concurrency: int = 4
 
@@ -62,10 +66,13 @@ def drive_letters(text: str) -> list[str]:
 
 
 class Namespace:
-    """entries, volumes (drive, phase) and optionally the text of entries (drive, slot, status, text)."""
+    """entries, volumes (drive, phase), and for contents either the text of entries (drive, slot, status, text) or their files
+    (binaryFile rows) with to_uri, which makes a file's address of an entry's path. building: drives still without a volume and the
+    number of entries read so far."""
 
-    def __init__(self, entries: DataFrame, volumes: DataFrame | None = None, texts: DataFrame | None = None, config: Config | None = None):
+    def __init__(self, entries: DataFrame, volumes: DataFrame | None = None, texts: DataFrame | None = None, config: Config | None = None, files: DataFrame | None = None, to_uri: Callable[[Column], Column] | None = None, building: dict[str, int] | None = None):
         self.entries, self.volumes, self.texts, self.config = entries, volumes, texts, config or Config()
+        self.files, self.to_uri, self.building = files, to_uri, building or {}
         self._paths: DataFrame | None = None
 
     @property
@@ -85,16 +92,24 @@ class Namespace:
             if op == "search":
                 return {"ok": self.search(**args)}
             raise ValueError(f"unknown op {op}")
-        except PermissionError as e:
-            return {"error": {"code": DISABLED, "message": str(e)}}
         except (KeyError, TypeError, ValueError) as e:
             return {"error": {"code": BAD_REQUEST, "message": str(e)}}
+        except Exception as e:  # whatever a job failed of is answered, not thrown at the transport
+            log.exception("request failed")
+            return {"error": {"code": INTERNAL, "message": str(e)[:500]}}
 
     def status(self) -> dict:
         rows = volume_status(self.entries)
         phases = self.volumes.select("drive", "phase") if self.volumes is not None else rows.select("drive", F.lit("ready").alias("phase"))
-        found = phases.join(rows, "drive", "left").orderBy("drive").collect()
-        return {"volumes": [{"drive": r["drive"], "phase": r["phase"], "files": r["files"] or 0, "deleted": r["deleted"] or 0, "memory": r["memory"] or 0, "needs_rebuild": bool(r["needs_rebuild"])} for r in found]}
+        found = phases.join(rows, "drive", "left").collect()
+        out = [{"drive": r["drive"], "phase": r["phase"], "files": r["files"] or 0, "deleted": r["deleted"] or 0, "memory": r["memory"] or 0, "needs_rebuild": bool(r["needs_rebuild"])} for r in found]
+        there = {v["drive"] for v in out}
+        out += [{"drive": d, "phase": "building", "files": n, "deleted": 0, "memory": 0, "needs_rebuild": False} for d, n in self.building.items() if d not in there]
+        return {"volumes": sorted(out, key=lambda v: v["drive"])}
+
+    def drives(self) -> list[str]:
+        """Letters of all volumes in order."""
+        return sorted(r["drive"] for r in self.entries.select("drive").distinct().collect())
 
     def search(self, q: str, limit: int = 100, offset: int = 0, sort: str = "none", match_path: bool = False) -> dict:
         if not q.strip():
@@ -112,18 +127,25 @@ class Namespace:
 
     def _contents(self, query, options: Options) -> dict:
         config = self.config.content
-        if not config.enabled or self.texts is None:
-            raise PermissionError("content search is disabled")
+        if not config.enabled or self.texts is None and self.files is None:
+            raise ValueError("content search is disabled")
         rows = matched(self.entries, self.paths, query, Options(match_path=options.match_path), self.volumes)
         window = content.candidates(rows, config.max_candidates)
-        scanned = content.scan_text(window.select(*self.entries.columns).join(self.texts, ["drive", "slot"], "left").fillna({"status": "error"}), query.content_terms).drop("text")
+        if self.files is not None:
+            deadline = time.time() + config.timeout_ms / 1000
+            placed = with_paths(F.broadcast(window.select(*self.entries.columns)), self.paths)
+            placed = placed.withColumn("path", self.to_uri(F.col("path")) if self.to_uri else F.col("path"))
+            scanned = content.scan_files(placed, self.files, query.content_terms, config.max_file_bytes, config.max_concurrency, deadline).drop("path")
+        else:
+            scanned = content.scan_text(window.select(*self.entries.columns).join(self.texts, ["drive", "slot"], "left").fillna({"status": "error"}), query.content_terms).drop("text")
+        scanned = written(scanned, "scanned")
         info = content.scan_info(scanned).first().asDict()
         hits = with_paths(content.content_page(scanned, options.limit, options.offset), self.paths).orderBy("drive", "slot").collect()
         truncated = rows.where("not is_dir").count() > window.count()
         return {
             "results": [{"name": r["name"], "path": r["path"], "is_dir": False, "snippet": r["snippet"], "content_matches": r["content_matches"]} for r in hits],
             "total_matched": info.pop("total_matched"),
-            "content": info | {"truncated": truncated, "timed_out": False},
+            "content": info | {"truncated": truncated, "timed_out": content.timed_out(scanned)},
         }
 
 

@@ -18,6 +18,7 @@ ORACLES: dict[str, str] = {}
 #: Entries without derived columns, and their paths, as DuckDB common table expressions. Ids of the D and P directories
 #: are hashes in Spark; the oracle needs names and paths only.
 _FILES = r"""
+d AS (SELECT doc_id, coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source FROM documents),
 e AS (
   SELECT 'C' AS drive, 0 AS slot, 'C:' AS name, 'C:\' AS path, true AS is_dir, '' AS parent
   UNION ALL SELECT 'C', 100 + r_regionkey, r_name, 'C:\' || r_name, true, 'C:' FROM region
@@ -28,13 +29,12 @@ e AS (
       'C:\' || r_name || '\' || n_name || '\' || c_name || '\order_' || o_orderkey || '.' || lower(o_orderstatus), false, ''
     FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey
   UNION ALL SELECT 'D', 0, 'D:', 'D:\', true, ''
-  UNION ALL SELECT DISTINCT 'D', NULL::BIGINT, lang, 'D:\' || lang, true, '' FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL
-  UNION ALL SELECT DISTINCT 'D', NULL::BIGINT, source, 'D:\' || lang || '\' || source, true, '' FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL
-  UNION ALL SELECT 'D', 1000000 + doc_id, 'doc_' || lpad(doc_id::VARCHAR, 7, '0') || '.txt', 'D:\' || lang || '\' || source || '\doc_' || lpad(doc_id::VARCHAR, 7, '0') || '.txt', false, ''
-    FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL
+  UNION ALL SELECT DISTINCT 'D', NULL::BIGINT, lang, 'D:\' || lang, true, '' FROM d
+  UNION ALL SELECT DISTINCT 'D', NULL::BIGINT, source, 'D:\' || lang || '\' || source, true, '' FROM d
+  UNION ALL SELECT 'D', 4398046511104 + doc_id, 'doc_' || lpad(doc_id::VARCHAR, 7, '0') || '.txt', 'D:\' || lang || '\' || source || '\doc_' || lpad(doc_id::VARCHAR, 7, '0') || '.txt', false, '' FROM d
   UNION ALL SELECT 'P', 0, 'P:', 'P:\', true, ''
   UNION ALL SELECT DISTINCT 'P', NULL::BIGINT, regexp_extract(url, '^[a-z]+://([^/#?]*)', 1), 'P:\' || regexp_extract(url, '^[a-z]+://([^/#?]*)', 1), true, '' FROM pages
-  UNION ALL SELECT 'P', NULL::BIGINT, 'page_' || page_id || '.html', 'P:\' || regexp_extract(url, '^[a-z]+://([^/#?]*)', 1) || '\page_' || page_id || '.html', false, '' FROM pages
+  UNION ALL SELECT 'P', 2199023255552 + page_id, 'page_' || page_id || '.html', 'P:\' || regexp_extract(url, '^[a-z]+://([^/#?]*)', 1) || '\page_' || page_id || '.html', false, '' FROM pages
   UNION ALL SELECT 'Q', 0, 'Q:', 'Q:\', true, ''
   UNION ALL SELECT 'Q', 100 + p_partkey, p_name, 'Q:\' || p_name, false, '' FROM part
   UNION ALL SELECT 'Q', 1000000000 + s_suppkey, s_name, 'Q:\' || s_name, false, '' FROM supplier
@@ -55,20 +55,12 @@ def _search(name: str, q: str, where: str, options: search.Options | None = None
     """All hits of a query, as drive, name, is_dir; where is the same condition in DuckDB over e."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        e = volumes.entries(spark, sf_dir)
-        hits = search.matched(e, _paths(e, q, options), q, options)
-        return hits.select("drive", "name", "is_dir")
+        e, p = volumes.stored(spark, sf_dir)
+        return search.matched(e, p, q, options).select("drive", "name", "is_dir")
 
     _query(name, f"WITH {_FILES} SELECT drive, name, is_dir FROM e WHERE {where}")(run)
 
 
-def _paths(entries: DataFrame, q: str, options: search.Options | None) -> DataFrame | None:
-    """Directory paths only where the plan joins them: computing them runs jobs."""
-    parsed = search.parse(q)
-    needed = parsed.path_terms or options and (options.match_path or options.sort == "path")
-    return paths.dir_paths(entries) if needed else None
-
-
 _search("substr_ascii", "Widget", "contains(lower(name), 'widget')")
 _search("multi_term_and", "order .f 99", "contains(lower(name), 'order') AND contains(lower(name), '.f') AND contains(lower(name), '99')")
 _search("wildcard_suffix", "*.TXT", "lower(name) LIKE '%.txt'")
@@ -86,12 +78,12 @@ _search("name_and_path", r"order_* africa\ c:", r"lower(name) LIKE 'order!_%' ES
 
 @_query("extension_of", f"WITH {_FILES} SELECT drive, name, CASE WHEN contains(name, '.') THEN regexp_extract(name, '\\.([^.]*)$', 1) ELSE '' END AS ext FROM e WHERE NOT is_dir")
 def extension_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return volumes.entries(spark, sf_dir).where("not is_dir").select("drive", "name", names.extension(F.col("name")).alias("ext"))
+    return volumes.stored(spark, sf_dir)[0].where("not is_dir").select("drive", "name", names.extension(F.col("name")).alias("ext"))
 
 
 @_query("ext_histogram", f"WITH {_FILES} SELECT drive, CASE WHEN contains(name, '.') THEN regexp_extract(name, '\\.([^.]*)$', 1) ELSE '' END AS ext, count(*)::BIGINT AS n FROM e WHERE NOT is_dir GROUP BY ALL")
 def ext_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return volumes.entries(spark, sf_dir).where("not is_dir").groupBy("drive", "ext").agg(F.count(F.lit(1)).alias("n"))
+    return volumes.stored(spark, sf_dir)[0].where("not is_dir").groupBy("drive", "ext").agg(F.count(F.lit(1)).alias("n"))
 
 
 @_query("find_offset", "SELECT p_partkey, CASE WHEN position('a' IN lower(p_name)) > 0 THEN strlen(substr(p_name, 1, position('a' IN lower(p_name))::INT - 1)) END::BIGINT AS at FROM part")
@@ -101,8 +93,8 @@ def find_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("under_dir", f"WITH {_FILES} SELECT name, path FROM e WHERE starts_with(lower(path), 'c:\\asia\\nation_2\\')")
 def under_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = volumes.entries(spark, sf_dir)
-    rows = paths.with_paths(e, paths.dir_paths(e))
+    e, p = volumes.stored(spark, sf_dir)
+    rows = paths.with_paths(e, p)
     return rows.where(names.under_dir(F.col("path"), r"c:\Asia\Nation_2")).select("name", "path")
 
 
@@ -113,16 +105,15 @@ def highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("path_of_tree", f"WITH {_FILES} SELECT drive, name, path FROM e")
 def path_of_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = volumes.entries(spark, sf_dir)
-    return paths.with_paths(e, paths.dir_paths(e)).select("drive", "name", "path")
+    return paths.with_paths(*volumes.stored(spark, sf_dir)).select("drive", "name", "path")
 
 
 @_query("subtree_delete", f"WITH {_FILES} SELECT drive, name FROM e WHERE NOT (drive = 'C' AND (path = 'C:\\ASIA' OR starts_with(path, 'C:\\ASIA\\')))")
 def subtree_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays when a directory goes with all below it."""
-    e = volumes.entries(spark, sf_dir)
+    e, p = volumes.stored(spark, sf_dir)
     asia = table(spark, sf_dir, "region").where("r_name = 'ASIA'").first()
-    gone = paths.subtree(e, paths.dir_paths(e), "C", 100 + asia["r_regionkey"] if asia else -1)
+    gone = paths.subtree(e, p, "C", 100 + asia["r_regionkey"] if asia else -1)
     return e.join(gone.select("drive", "frn"), ["drive", "frn"], "left_anti").select("drive", "name")
 
 
@@ -130,7 +121,7 @@ _NO_ASIA = "drive = 'C' AND starts_with(path, 'C:\\ASIA\\')"
 
 
 def _without_asia(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return volumes.entries(spark, sf_dir).where("not (drive = 'C' and name = 'ASIA' and slot < 1000)")
+    return volumes.stored(spark, sf_dir)[0].where("not (drive = 'C' and name = 'ASIA' and slot < 1000)")
 
 
 @_query("orphan_reachability", f"WITH {_FILES} SELECT drive, name FROM e WHERE NOT ({_NO_ASIA}) AND path <> 'C:\\ASIA'")
@@ -149,8 +140,7 @@ def orphan_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _page(name: str, q: str, options: search.Options, where: str, order: str) -> None:
     @_query(name, f"WITH {_FILES} SELECT drive, name, path, is_dir FROM e WHERE {where} ORDER BY {order} LIMIT {options.limit} OFFSET {options.offset}")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        e = volumes.entries(spark, sf_dir)
-        return search.page(e, paths.dir_paths(e), q, options).select("drive", "name", "path", "is_dir")
+        return search.page(*volumes.stored(spark, sf_dir), q, options).select("drive", "name", "path", "is_dir")
 
 
 _page("page_index_order", "c: order", search.Options(limit=50), "drive = 'C' AND contains(lower(name), 'order')", "drive, slot")
@@ -161,7 +151,7 @@ _page("page_offset", "doc", search.Options(limit=25, offset=75, sort="name"), "c
 
 @_query("total_and_nondir", f"WITH {_FILES} SELECT count(*)::BIGINT AS total_matched, count(*) FILTER (NOT is_dir)::BIGINT AS non_dir_matched FROM e WHERE contains(lower(name), '1')")
 def total_and_nondir(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.totals(volumes.entries(spark, sf_dir), None, "1")
+    return search.totals(volumes.stored(spark, sf_dir)[0], None, "1")
 
 
 @_query("substr_unicode", "SELECT doc_id FROM documents WHERE contains(lower(text), 'éelle')")
@@ -195,24 +185,29 @@ def content_first_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", content.first_hit(names.fold(F.col("text")), NEEDLES).alias("hit"))
 
 
-_AT = "position('idiot' IN lower(text))::INT"
 _WS = "'[\\s\\v\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+'"
 
 
+def _trimmed(text: str) -> str:
+    return f"trim(regexp_replace({text}, {_WS}, ' ', 'g'))"
+
+
 @_query(
     "content_snippet",
-    f"""WITH m AS (SELECT doc_id, text, greatest(0, {_AT} - 1 - 64) AS a, least(length(text), {_AT} - 1 + 64) AS b FROM documents WHERE contains(lower(text), 'idiot') AND strlen(text) = length(text))
-    SELECT doc_id, CASE WHEN trim(regexp_replace(substr(text, 1, a), {_WS}, ' ', 'g')) <> '' THEN '…' ELSE '' END || trim(regexp_replace(substr(text, a + 1, b - a), {_WS}, ' ', 'g'))
-      || CASE WHEN trim(regexp_replace(substr(text, b + 1), {_WS}, ' ', 'g')) <> '' THEN '…' ELSE '' END AS snippet FROM m""",
+    f"""WITH h AS (SELECT doc_id, text, position('idiot' IN lower(text))::INT - 1 AS h FROM documents WHERE contains(lower(text), 'idiot')),
+    b AS (SELECT *, greatest(0, strlen(left(text, h)) - 64) AS low, least(strlen(text), strlen(left(text, h)) + 64) AS high FROM h),
+    m AS (SELECT doc_id, text, list_max(list_filter(range(greatest(0, h - 64), h + 1), lambda c: strlen(left(text, c::INT)) <= low)) AS a,
+          list_min(list_filter(range(h, least(length(text), h + 64) + 1), lambda c: strlen(left(text, c::INT)) >= high)) AS z FROM b)
+    SELECT doc_id, CASE WHEN {_trimmed('left(text, a::INT)')} <> '' THEN '…' ELSE '' END || {_trimmed('substr(text, a::INT + 1, (z - a)::INT)')}
+      || CASE WHEN {_trimmed('substr(text, z::INT + 1)')} <> '' THEN '…' ELSE '' END AS snippet FROM m""",
 )
 def content_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over all texts. The DuckDB equivalent counts characters, so it holds for ASCII texts alone; a brute-force test covers the others."""
+    """Bytes decide in both: DuckDB looks for the characters that hold the first and the last one."""
     return content.scan_text(_docs(spark, sf_dir), ["idiot"]).where("status = 'match'").select("doc_id", "snippet")
 
 
 def _doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = volumes.entries(spark, sf_dir, "D")
-    return search.matched(e, None, "5")
+    return search.matched(volumes.stored(spark, sf_dir)[0], None, "d: 5")
 
 
 def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,19 +216,17 @@ def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content.scan_text(window.select("drive", "slot", "name").join(d.select("slot", "text"), "slot", "left"), NEEDLES)
 
 
-_WINDOW = """c AS (
-  SELECT 0 AS o, NULL::BIGINT AS doc_id, true AS is_dir FROM documents WHERE false
-  UNION ALL SELECT DISTINCT 1, NULL::BIGINT, true FROM documents WHERE false
-  UNION ALL SELECT 2, doc_id, false FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL AND contains('doc_' || lpad(doc_id::VARCHAR, 7, '0') || '.txt', '5')
-), dirs AS (SELECT count(DISTINCT lang || '/' || source) AS n FROM documents WHERE contains(source, '5') AND lang IS NOT NULL),
-w AS (SELECT doc_id FROM c ORDER BY doc_id LIMIT (SELECT greatest(0, 300 - n) FROM dirs)), s AS (SELECT documents.* FROM w JOIN documents USING (doc_id))"""
+#: Directories that match come first in index order and take places in the window.
+_WINDOW = f"""{_FILES}, c AS (SELECT name, is_dir, slot FROM e WHERE drive = 'D' AND contains(name, '5')),
+w AS (SELECT slot - 4398046511104 AS doc_id FROM c WHERE NOT is_dir ORDER BY slot LIMIT (SELECT greatest(0, {content.MOST_CANDIDATES} - count(*)) FROM c WHERE is_dir)),
+s AS (SELECT documents.* FROM w JOIN documents USING (doc_id))"""
 
 
-@_query("content_window_truncated", f"WITH {_WINDOW} SELECT (SELECT count(*) FROM c) > (SELECT count(*) FROM w) AS truncated")
+@_query("content_window_truncated", f"WITH {_WINDOW} SELECT (SELECT count(*) FROM c WHERE NOT is_dir) > (SELECT count(*) FROM w) AS truncated")
 def content_window_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _doc_files(spark, sf_dir)
-    n = content.candidates(rows).agg(F.count(F.lit(1)).alias("in_window"))
-    return rows.agg(F.count_if(~F.col("is_dir")).alias("all_files")).join(n).select((F.col("all_files") > F.col("in_window")).alias("truncated"))
+    counted = rows.where("not is_dir").select(F.lit(1).alias("matched"), F.lit(0).alias("in_window")).union(content.candidates(rows).select(F.lit(0), F.lit(1)))
+    return counted.agg((F.coalesce(F.sum("matched") > F.sum("in_window"), F.lit(False))).alias("truncated"))
 
 
 @_query("content_paging", f"WITH {_WINDOW} SELECT 'doc_' || lpad(doc_id::VARCHAR, 7, '0') || '.txt' AS name, {_COUNT} AS content_matches FROM s WHERE {_HAS} ORDER BY doc_id LIMIT 20 OFFSET 10")
@@ -243,7 +236,7 @@ def content_paging(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(
     "content_status_counts",
-    f"WITH {_WINDOW} SELECT count(*)::BIGINT AS scanned, 0::BIGINT AS skipped_size, 0::BIGINT AS skipped_binary, 0::BIGINT AS errors, count(*) FILTER ({_HAS})::BIGINT AS total_matched FROM s",
+    f"WITH {_WINDOW} SELECT count(text)::BIGINT AS scanned, 0::BIGINT AS skipped_size, 0::BIGINT AS skipped_binary, count(*) FILTER (text IS NULL)::BIGINT AS errors, count(*) FILTER ({_HAS})::BIGINT AS total_matched FROM s",
 )
 def content_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content.scan_info(_scanned(spark, sf_dir))
@@ -347,9 +340,9 @@ def usn_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["usn_decode"] = f"""SELECT event_id AS usn, {_OP} AS op, 100 + user_id AS frn, CASE WHEN user_id % 5 = 0 THEN 5 ELSE 100 + user_id - user_id % 5 END AS parent_frn,
   'user_' || user_id || '_' || event_id AS name, user_id % 5 = 0 AS is_dir FROM events WHERE {_OP} IS NOT NULL"""
 
-@_query("office_extract", "SELECT doc_id, 'text' AS status, text FROM documents WHERE text <> ''")
+@_query("office_extract", "SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 'error' ELSE 'text' END AS status, nullif(text, '') AS text FROM documents")
 def office_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document put into an office container by the executors, and taken out again."""
+    """Every document put into an office container by the executors, and taken out again; a container without text is broken."""
 
     def pack(batches):
         import io
@@ -361,31 +354,31 @@ def office_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
             for text in b["text"]:
                 f = io.BytesIO()
                 with zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
-                    z.writestr("word/document.xml", f"<w:document><w:p>{escape(text)}</w:p></w:document>")
+                    z.writestr("word/document.xml", f"<w:document><w:p>{escape(text or '')}</w:p></w:document>")
                 out.append(f.getvalue())
             b["content"] = out
             yield b[["doc_id", "content"]]
 
-    packed = _docs(spark, sf_dir).where("text <> ''").mapInPandas(pack, "doc_id long, content binary")
+    packed = _docs(spark, sf_dir).mapInPandas(pack, "doc_id long, content binary")
     return packed.select("doc_id", extract_text(F.col("content"), F.lit("docx")).alias("got")).select("doc_id", "got.*")
 
 
-@_query("utf16_decode", "SELECT doc_id, 'text' AS status, text FROM documents WHERE text IS NOT NULL")
+@_query("utf16_decode", "SELECT doc_id, CASE WHEN text IS NULL THEN 'error' ELSE 'text' END AS status, text FROM documents")
 def utf16_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Even ids as UTF-16 little-endian, odd ones as big-endian, with byte-order marks."""
     text = F.col("text")
     data = F.when(F.col("doc_id") % 2 == 0, F.concat(F.unhex(F.lit("FFFE")), F.encode(text, "UTF-16LE"))).otherwise(F.concat(F.unhex(F.lit("FEFF")), F.encode(text, "UTF-16BE")))
-    return _docs(spark, sf_dir).where("text is not null").select("doc_id", extract_text(data, F.lit("txt")).alias("got")).select("doc_id", "got.*")
+    return _docs(spark, sf_dir).select("doc_id", extract_text(data, F.lit("txt")).alias("got")).select("doc_id", "got.*")
 
 
 _DELETED = "slot % 7 = 3"
 
 
 def _with_tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return volumes.entries(spark, sf_dir, "CQ").withColumn("deleted", F.expr(f"not is_dir and {_DELETED}"))
+    return volumes.stored(spark, sf_dir)[0].withColumn("deleted", F.expr(f"not is_dir and {_DELETED}"))
 
 
-_T = f"t AS (SELECT *, NOT is_dir AND {_DELETED} AS deleted FROM e WHERE drive IN ('C', 'Q'))"
+_T = f"t AS (SELECT *, NOT is_dir AND {_DELETED} AS deleted FROM e)"
 
 
 @_query(
@@ -398,12 +391,14 @@ def volume_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.volume_status(_with_tombstones(spark, sf_dir))
 
 
-@_query("compaction", f"WITH {_FILES}, {_T} SELECT drive, name, (row_number() OVER (PARTITION BY drive ORDER BY slot) - 1)::BIGINT AS slot FROM t WHERE NOT deleted")
+@_query("compaction", f"WITH {_FILES}, {_T} SELECT drive, name, CASE WHEN NOT is_dir OR drive IN ('C', 'Q') THEN row_number() OVER (PARTITION BY drive ORDER BY NOT is_dir, slot) - 1 END::BIGINT AS slot FROM t WHERE NOT deleted")
 def compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.compact(_with_tombstones(spark, sf_dir)).select("drive", "name", "slot")
+    """Directories of D and P come first there, in the order of their hashed ids, which DuckDB doesn't know: their slots are left out."""
+    known = ~F.col("is_dir") | F.col("drive").isin("C", "Q")
+    return paths.compact(_with_tombstones(spark, sf_dir)).select("drive", "name", F.when(known, F.col("slot")).alias("slot"))
 
 
-@_query("validate_report", f"WITH {_FILES} SELECT drive, 0::BIGINT AS roots, 0::BIGINT AS names, CASE WHEN drive = 'C' THEN (SELECT count(*) FROM nation JOIN region ON r_regionkey = n_regionkey WHERE r_name = 'ASIA') ELSE 0 END::BIGINT AS parents, 0::BIGINT AS keys FROM e GROUP BY drive")
+@_query("validate_report", f"WITH {_FILES} SELECT drive, 0::BIGINT AS roots, 0::BIGINT AS root_keys, 0::BIGINT AS names, CASE WHEN drive = 'C' THEN (SELECT count(*) FROM nation JOIN region ON r_regionkey = n_regionkey WHERE r_name = 'ASIA') ELSE 0 END::BIGINT AS parents, 0::BIGINT AS keys FROM e GROUP BY drive")
 def validate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.validate(_without_asia(spark, sf_dir))
 
@@ -411,4 +406,91 @@ def validate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("phase_filter", f"WITH {_FILES} SELECT drive, name FROM e WHERE drive IN ('C', 'P') AND contains(name, '3')")
 def phase_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     phases = spark.sql("select * from values ('C', 'ready'), ('D', 'building'), ('P', 'ready'), ('Q', 'failed') as v(drive, phase)")
-    return search.matched(volumes.entries(spark, sf_dir), None, "3", volumes=phases).select("drive", "name")
+    return search.matched(volumes.stored(spark, sf_dir)[0], None, "3", volumes=phases).select("drive", "name")
+
+
+@_query(
+    "validate_violations",
+    f"""WITH {_FILES}, b AS (
+      SELECT drive, CASE WHEN slot % 10 = 3 AND NOT is_dir THEN NULL ELSE name END AS name, slot, is_dir, path FROM e WHERE drive IN ('C', 'Q') AND NOT (drive = 'Q' AND slot = 0)
+      UNION ALL SELECT drive, name, slot, is_dir, path FROM e WHERE drive = 'C' AND slot % 100 = 7 AND NOT is_dir
+      UNION ALL SELECT 'C', 'C:', 0, true, 'C:'
+    )
+    SELECT drive, 1::BIGINT AS roots, 1::BIGINT AS root_keys, count(*) FILTER (name IS NULL)::BIGINT AS names,
+      CASE drive WHEN 'C' THEN 0 ELSE count(*) END::BIGINT AS parents, (count(*) - count(DISTINCT slot))::BIGINT AS keys FROM b GROUP BY drive
+    UNION ALL SELECT 'Z', 1, 1, 0, 0, 0""",
+)
+def validate_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C with its root and some files twice, Q without its root, names missing in both, Z without any entry."""
+    e = volumes.stored(spark, sf_dir)[0].where("drive in ('C', 'Q')")
+    broken = e.where("not (drive = 'Q' and slot = 0)").withColumn("name", F.expr("case when slot % 10 = 3 and not is_dir then null else name end"))
+    broken = broken.unionByName(e.where("drive = 'C' and slot % 100 = 7 and not is_dir")).unionByName(e.where("drive = 'C' and slot = 0"))
+    return paths.validate(broken, ["Z"])
+
+
+_RAW_FRN, _RAW_REASON, _RAW_MAJOR = "user_id % 1000", "event_id * 257 % 16384", "CASE WHEN event_id % 11 = 0 THEN 3 ELSE 2 END"
+
+
+@_query(
+    "scan_counts",
+    f"""SELECT count(*)::BIGINT AS records, count(*) FILTER ({_RAW_MAJOR} = 2 AND {_RAW_FRN} >= 24 AND (({_RAW_REASON}) & {usn.REASON_CREATE | usn.REASON_DELETE | usn.REASON_RENAME_OLD | usn.REASON_RENAME_NEW}) <> 0)::BIGINT AS events,
+    count(*) FILTER ({_RAW_MAJOR} <> 2)::BIGINT AS other_versions FROM events""",
+)
+def scan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as records, some of another version, some of metafiles, some without a reason that counts."""
+    rows = table(spark, sf_dir, "events").selectExpr(f"{_RAW_FRN} as frn", "event_id", f"{_RAW_REASON} as reason", f"{_RAW_MAJOR} as major")
+
+    def pack(batches):
+        import pandas as pd
+
+        for b in batches:
+            yield pd.DataFrame({"buffer": [b"".join(usn.pack(r.frn, 5, r.event_id, r.reason, 0, "文件", r.major) for r in b.itertuples())]})
+
+    return usn.scan_counts(usn.decode(rows.mapInPandas(pack, "buffer binary")))
+
+
+@_query("wildcard_unicode", "SELECT doc_id FROM documents WHERE lower(text) LIKE '%éelle_é%'")
+def wildcard_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").where(names.matches(names.fold(F.col("text")), "*ÉELLE?É*")).select("doc_id")
+
+
+@_query("plain_path", f"WITH {_FILES} SELECT path FROM e WHERE drive <> 'P' UNION ALL SELECT '\\\\' || path FROM e WHERE drive = 'P'")
+def plain_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = paths.with_paths(*volumes.stored(spark, sf_dir))
+    verbatim = F.concat(F.when(F.col("drive") == "P", F.lit("\\\\?\\UNC\\")).otherwise(F.lit("\\\\?\\")), "path")
+    return rows.select(names.plain_path(verbatim).alias("path"))
+
+
+_CAP = 3000
+
+
+@_query(
+    "content_size_filter",
+    f"""SELECT count(*) FILTER (strlen(text) <= {_CAP})::BIGINT AS scanned, count(*) FILTER (strlen(text) > {_CAP})::BIGINT AS skipped_size, 0::BIGINT AS skipped_binary,
+    count(*) FILTER (text IS NULL)::BIGINT AS errors, count(*) FILTER (strlen(text) <= {_CAP} AND {_HAS})::BIGINT AS total_matched FROM documents""",
+)
+def content_size_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as files with a limit of size: each has one status."""
+    status = F.when(F.col("text").isNull(), "error").when(F.octet_length("text") > _CAP, "skipped_size").otherwise("text")
+    return content.scan_info(content.scan_text(_docs(spark, sf_dir).withColumn("status", status), NEEDLES))
+
+
+@_query("content_query", f"WITH {_FILES} SELECT e.name, least(10000, (length(lower(text)) - length(replace(lower(text), 'idiot', ''))) // 5)::INT AS content_matches FROM e JOIN documents ON slot = 4398046511104 + doc_id WHERE drive = 'D' AND e.name LIKE '%7.txt' AND contains(lower(text), 'idiot')")
+def content_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query as it's typed: the content term decides among the files that the name term leaves."""
+    q = search.parse("*7.txt d: Content:IDIOT")
+    hits = search.matched(volumes.stored(spark, sf_dir)[0], None, q).where("not is_dir")
+    texts = _docs(spark, sf_dir).select((F.col("doc_id") + volumes.DOC_BASE).alias("slot"), "text")
+    return content.scan_text(hits.join(texts, "slot"), q.content_terms).where("status = 'match'").select("name", "content_matches")
+
+
+@_query("page_clamped", f"WITH {_FILES} SELECT drive, name, path, is_dir FROM e WHERE drive = 'C' AND contains(lower(name), 'order') ORDER BY slot LIMIT {search.MOST_LIMIT}")
+def page_clamped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.page(*volumes.stored(spark, sf_dir), "c: order", search.Options(limit=search.MOST_LIMIT + 4000)).select("drive", "name", "path", "is_dir")
+
+
+@_query("rename_pairing", f"""WITH r AS (SELECT event_id, user_id, {_OP} AS op, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events WHERE {_OP} IS NOT NULL AND {_OP} <> 'create')
+  SELECT n.event_id AS usn, coalesce(o.op = 'rename_old', false) AS paired FROM r AS n LEFT JOIN r AS o ON o.user_id = n.user_id AND o.i = n.i - 1 WHERE n.op = 'rename_new'""")
+def rename_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a new name follows an old one of the same id, with neither a deletion nor another new name between them."""
+    return replay.paired_renames(volumes.journal(spark, sf_dir)).select("usn", "paired")

@@ -34,10 +34,10 @@ class Scratch:
         self.spark = spark
         self._tables: list[tuple[DataFrame, str]] = []
 
-    def written(self, df: DataFrame, name: str) -> DataFrame:
+    def written(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
         """Writes df to the shared folder and reads it back: lineage ends here, and losing an executor loses nothing."""
         path = f"{shared_dir(self.spark).rstrip('/')}/treelight/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        df.write.parquet(path, partitionBy=partition_by)
         p, fs = hadoop_path(self.spark, path)
         fs.deleteOnExit(p)
         table = self.spark.read.schema(df.schema).parquet(path)

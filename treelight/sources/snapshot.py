@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 import time
 import uuid
 
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from treelight.operators.paths import validate
 from treelight.sources.shared import hadoop_path
 
+log = logging.getLogger(__name__)
+
 MAGIC, FORMAT = "treelight", 2
 
 
@@ -22,9 +25,11 @@ def _write_text(spark: SparkSession, path: str, text: str) -> None:
     out = fs.create(other, True)
     out.write(bytearray(text.encode()))
     out.close()
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs.delete(target, False)
-    fs.rename(other, target)
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    over = spark.sparkContext._gateway.new_array(rename, 1)
+    over[0] = rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(context.makeQualified(other), context.makeQualified(jvm.org.apache.hadoop.fs.Path(path)), over)
 
 
 def save(entries: DataFrame, volumes: DataFrame, path: str) -> str:
@@ -47,9 +52,10 @@ def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
             return None
         entries = spark.read.parquet(f"{path}/{manifest['version']}/entries")
         volumes = spark.read.parquet(f"{path}/{manifest['version']}/volumes")
-        bad = validate(entries).where("roots + names + parents + keys > 0")
+        bad = validate(entries).where("roots + root_keys + names + parents + keys > 0")
         return (entries, volumes) if bad.isEmpty() else None
-    except Exception:  # a snapshot is only a shortcut: whatever is wrong with it, the volume is built anew
+    except Exception as e:  # a snapshot is only a shortcut: whatever is wrong with it, the volume is built anew
+        log.warning("snapshot %s can't be used: %s", path, e)
         return None
 
 

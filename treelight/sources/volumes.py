@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treelight.operators.paths import ROOT_FRN, as_entries
+from treelight.operators.paths import ROOT_FRN, as_entries, dir_paths
+from treelight.sources.shared import Scratch, hadoop_path
 
-LANG_BASE, SOURCE_BASE, DOC_BASE = 100, 1000, 1_000_000
+#: Ids of directories are hashes of 40 bits above a base, so that none of some millions of names clash; documents stand after them.
+LANG_BASE, SOURCE_BASE, DOC_BASE = 1 << 8, 1 << 41, 1 << 42
 UNNAMED = "(none)"
 
 
@@ -27,12 +29,12 @@ def _root(spark: SparkSession, drive: str) -> DataFrame:
 
 
 def lang_frn(lang: Column) -> Column:
-    """An id of a directory by its name: languages and sources are few, and the hash keeps it stable."""
-    return LANG_BASE + F.pmod(F.crc32(lang), F.lit(800))
+    """An id of a directory by its name: the hash keeps it stable."""
+    return LANG_BASE + F.pmod(F.xxhash64(lang), F.lit(1 << 40))
 
 
 def source_frn(lang: Column, source: Column) -> Column:
-    return SOURCE_BASE + F.pmod(F.crc32(F.concat_ws("/", lang, source)), F.lit(900_000))
+    return SOURCE_BASE + F.pmod(F.xxhash64(lang, source), F.lit(1 << 40))
 
 
 def documents_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +92,33 @@ def entries(spark: SparkSession, sf_dir: str, drives: str = "CDPQ") -> DataFrame
     return as_entries(out)
 
 
+_stored: dict[tuple, tuple[DataFrame, DataFrame]] = {}
+
+
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """What tells whether the tables are still those that were stored."""
+    out = []
+    for name in ("region", "nation", "customer", "orders", "documents", "pages", "part", "supplier"):
+        path, fs = hadoop_path(spark, f"{sf_dir}/{name}.parquet")
+        out.append((fs.getFileStatus(path).getModificationTime(), fs.getContentSummary(path).getLength()))
+    return tuple(out)
+
+
+def stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """entries and their directories' paths, built once for an application and searched from there.
+
+    Entries lie in a folder for each drive, in the order of name_fold: filters on drives prune folders, filters on names reach
+    the scan.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, _state(spark, sf_dir))
+    if key not in _stored:
+        scratch = Scratch(spark)
+        rows = entries(spark, sf_dir).sortWithinPartitions("drive", "name_fold")
+        table = scratch.written(rows, "entries", ["drive"])
+        _stored[key] = table, scratch.written(dir_paths(table), "dir-paths")
+    return _stored[key]
+
+
 def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as a change journal of volume J: signup creates, view and click rename, purchase deletes.
 
