@@ -106,6 +106,10 @@ def test_quality(spark, odd, docs):
     got = quality_rules.quality(frame).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     assert sorted(repr(tuple(r)) for r in got.collect()) == want
     assert quality_rules.quality(frame.limit(0)).count() == 0
+    clash = frame.selectExpr("*", "1 as n_words", "'x' as words", "2 as n_lines", "3 as kept")
+    got = quality_rules.quality(clash).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert sorted(repr(tuple(r)) for r in got.collect()) == want
+    assert quality_rules.keep_good(clash).columns == clash.columns
 
 
 def test_quality_keeps_good_documents(spark, docs):
@@ -151,6 +155,9 @@ def test_licenses_without_line_breaks(spark):
     assert [got[i]["license_id"] for i in range(1, 9)] == ["MIT", "MIT", "BSD-2-Clause", "MIT", "MIT", "MIT", "MIT", "MIT"]
     assert [got[i]["notice_ids"] for i in (4, 5, 8)] == ["MIT"] * 3
     own = [("Own", "Do as you like with these words, friend.")]
+    plain = spark.createDataFrame([(1, "intro\nDo as you like with these words, friend."), (2, None), (2, None)], "doc_id long, text string")
+    plain = plain.selectExpr("*", "1 as lines", "'x' as found", "'y' as license_digest", "'z' as text_digest")
+    assert sorted((r["doc_id"], r["notice_ids"]) for r in license_scan.license_scan(plain, texts=own).collect()) == [(1, "Own"), (2, ""), (2, "")]
     line = spark.createDataFrame([(1, "Copyright (c) 2020 Foo. Do as you like with these words, friend.")], "doc_id long, text string")
     assert license_scan.license_scan(line, texts=own).first()["license_id"] == "Own"
 

@@ -42,3 +42,24 @@ def test_pipeline(spark):
     assert len(cut) <= shards
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(0), SF).columns == docs.columns, name
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in every column, empty and long texts, repeated rows and columns whose names the stages use inside."""
+    documents = spark.read.parquet(f"{SF}/documents.parquet")
+    judged = quality_rules.quality(documents).where("kept and n_words between 200 and 400").select("doc_id")
+    good = next(r["text"] for r in documents.join(judged, "doc_id").orderBy("doc_id").collect() if r["text"].isascii())
+    rows = [(1, good, "en", "s1"), (1, good, "en", "s1"), (2, good.swapcase(), None, None), (3, good + " more words follow", "en", None), (None, good + " and no id", "en", "s1")]
+    rows += [(4, None, None, None), (5, "", "en", "s1"), (6, "x" * 100_000, "en", "s1"), (None, None, None, None)]
+    frame = spark.createDataFrame([(i, t, g, s, len(t or ""), "k", 1, "r") for i, t, g, s in rows], "doc_id long, text string, lang string, source string, n_chars long, key string, id int, row string")
+    docs = frame
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF).checkpoint()
+        assert docs.columns == frame.columns, name
+        kept[name] = sorted(r["doc_id"] or -1 for r in docs.collect())
+    assert kept["quality_rules"] == [-1, 1, 1, 2, 3]
+    assert kept["exact_dedup"] == [-1, 2, 3]
+    assert kept["minhash_dedup"] == [-1, 2]
+    assert set(kept["source_mix"]) <= {-1, 2}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == len(kept["source_mix"])

@@ -15,7 +15,8 @@ window's encoding that ends that many bytes before the end of the window is fina
 Decoding. Token ids become bytes, bytes go through an incremental UTF-8 decoder which keeps at most three bytes between
 tokens; bytes that aren't UTF-8 become U+FFFD.
 
-Memory: a window, a slice and a cache of bounded size for each task, besides the row itself. Rows are encoded where
+Memory: a slice's tokens, a window and a cache of bounded size for each task, besides the row itself. A slice ends at white space, so a
+text without any is one slice, and its tokens are in memory together. Rows are encoded where
 they are; there's no shuffle.
 
 Defined results: a null text counts as the empty text, which has no tokens (digests are those of empty strings); the

@@ -9,8 +9,8 @@ looked up in the same way, each line of a document as a text of its own.
 The table of known digests has a fixed size (the lists below and what the caller adds), so it's broadcast; documents
 aren't shuffled. The main path is built-in functions only.
 
-Defined results: a null text counts as the empty text; a text without letters or digits (after normalising) matches nothing; repeated
-rows give equal rows; an empty table gives an empty result; other columns are ignored whatever their names.
+Defined results: a null text counts as the empty text; a text without letters or digits (after normalising) matches nothing; a
+very long text is normalised whole; of names with one digest the first in code-point order counts; repeated rows give equal rows; an empty table gives an empty result; other columns are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -218,13 +218,17 @@ def known_digests(spark, texts: list[tuple[str, str]] | None = None) -> DataFram
     )
 
 
-#: Lines are looked up only where they can match: every known notice has one of these words once normalised.
+#: Texts that a caller may add; their digests are a constant of the plan and broadcast.
+MOST_TEXTS = 50_000
+#: Lines are looked up only where they can match: every notice known here has one of these words. A caller's texts may have others.
 NOTICE_WORDS = r"licen[sc]e|\bcc\b|\bcc0\b|mozilla"
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: list[tuple[str, str]] | None = None) -> DataFrame:
     """One row per row of docs: doc_id, text_digest, license_id (of the entire text, else null), n_notices, notice_ids (sorted, comma-joined)."""
     spark = docs.sparkSession
+    if texts is not None and len(texts) > MOST_TEXTS:
+        raise ValueError(f"more than {MOST_TEXTS} texts")
     known = known_digests(spark, texts)
     # the known digests as one constant map of fixed size: lines look themselves up without being exploded
     lookup = F.from_json(F.lit(json.dumps({x["license_digest"]: x["license_id"] for x in known.collect()})), "map<string,string>")
@@ -232,7 +236,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         digest(canonical(text, texts)).alias("text_digest"),
-        F.filter(F.split(text, r"\r\n|\r|\n"), lambda x: F.lower(x).rlike(NOTICE_WORDS)).alias("lines"),
+        F.filter(F.split(text, r"\r\n|\r|\n"), lambda x: F.lower(x).rlike(NOTICE_WORDS) if texts is None else x != "").alias("lines"),
     )
     rows = rows.join(F.broadcast(known), F.col("text_digest") == F.col("license_digest"), "left")
     found = F.filter(F.transform("lines", lambda x: F.try_element_at(lookup, digest(canonical(x, texts)))), lambda x: x.isNotNull())

@@ -23,7 +23,7 @@ With 24 bands of 5, a pair at exactly 0.8 is a candidate with probability 1 - (1
 Shuffles move keys and ids for all documents; texts move only for documents that are in a candidate pair.
 
 Defined results: a null text counts as the empty text; a text without words has no shingles and is in a class of its own;
-one with fewer than five words has a single shingle, all its words; case is ignored; repeated rows are copies; an
+a very long text takes part whole; of members equally near the largest id is the hub, which changes no class; one with fewer than five words has a single shingle, all its words; case is ignored; repeated rows are copies; an
 empty table gives an empty result; other columns are ignored whatever their names.
 """
 

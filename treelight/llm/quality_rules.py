@@ -5,7 +5,8 @@ functions, ``compile_rules`` turns the table into columns; both stay in a single
 work is one pass without any shuffle, whatever the number of rows.
 
 Defined results: a null or empty text has no words and fails the base rule; an empty table gives an empty result;
-other columns are ignored whatever their names; repeated rows are judged each on its own. Words of two 3-word
+other columns are ignored whatever their names; repeated rows are judged each on its own;
+a very long text is one row's work, its words and windows are in memory at once; there are no ties. Words of two 3-word
 windows are equal by a 64-bit hash of the three words.
 """
 

@@ -12,7 +12,8 @@ about SAMPLE_DOCS documents chosen by a seeded hash of their id, and of each the
 counts of character pairs leave the executors.
 
 Defined results: a null text counts as the empty text; a document without spans has zero counts, the digest of the empty
-string and an empty spans string; repeated rows give equal rows; an empty table gives an empty result; other columns are
+string and an empty spans string; a very long text is scanned whole; runs under LEAST_RUN characters
+aren't scored (too short to tell); repeated rows give equal rows; an empty table gives an empty result; other columns are
 ignored whatever their names. Offsets count code points, ends are exclusive; of equal starts, kinds go as listed.
 """
 
