@@ -207,7 +207,7 @@ def content_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.matched(volumes.stored(spark, sf_dir)[0], None, "d: 5")
+    return search.matched(volumes.stored(spark, sf_dir, "D")[0], None, "5")
 
 
 def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,25 +95,28 @@ def entries(spark: SparkSession, sf_dir: str, drives: str = "CDPQ") -> DataFrame
 _stored: dict[tuple, tuple[DataFrame, DataFrame]] = {}
 
 
-def _state(spark: SparkSession, sf_dir: str) -> tuple:
+TABLES = {"C": ("region", "nation", "customer", "orders"), "D": ("documents",), "P": ("pages",), "Q": ("part", "supplier")}
+
+
+def _state(spark: SparkSession, sf_dir: str, drives: str) -> tuple:
     """What tells whether the tables are still those that were stored."""
     out = []
-    for name in ("region", "nation", "customer", "orders", "documents", "pages", "part", "supplier"):
+    for name in (t for d in drives for t in TABLES[d]):
         path, fs = hadoop_path(spark, f"{sf_dir}/{name}.parquet")
         out.append((fs.getFileStatus(path).getModificationTime(), fs.getContentSummary(path).getLength()))
     return tuple(out)
 
 
-def stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def stored(spark: SparkSession, sf_dir: str, drives: str = "CDPQ") -> tuple[DataFrame, DataFrame]:
     """entries and their directories' paths, built once for an application and searched from there.
 
     Entries lie in a folder for each drive, in the order of name_fold: filters on drives prune folders, filters on names reach
     the scan.
     """
-    key = (spark.sparkContext.applicationId, sf_dir, _state(spark, sf_dir))
+    key = (spark.sparkContext.applicationId, sf_dir, drives, _state(spark, sf_dir, drives))
     if key not in _stored:
         scratch = Scratch(spark)
-        rows = entries(spark, sf_dir).sortWithinPartitions("drive", "name_fold")
+        rows = entries(spark, sf_dir, drives).sortWithinPartitions("drive", "name_fold")
         table = scratch.written(rows, "entries", ["drive"])
         _stored[key] = table, scratch.written(dir_paths(table), "dir-paths")
     return _stored[key]
