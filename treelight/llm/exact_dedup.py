@@ -5,7 +5,8 @@ shared, too). The surviving keys go into a bitmap of bounded size that every tas
 no further part, they aren't shuffled. What it knows is grouped by key and hash of the whole text, which decides; a key that
 shares its bit with a surviving one is only grouped for nothing. ``dedup_rows`` hashes whole texts only there, and moves whole
 rows only there, after each task has left one row of every group; a group of copies may hold any share of the rows. ``exact_dedup``
-returns a digest for every row, so it hashes every text, once, and goes on with ids, lengths and hashes.
+returns a digest for every row, so it hashes every text, once, and goes on with ids, lengths and hashes; rows of a large group meet
+it in many tasks.
 
 Defined results: a null text counts as the empty text; very long texts are compared whole like any other; texts are equal when they
 are identical after lower-casing A-Z alone; of equal texts the largest id stays, a null id only where there's no other; repeated rows
@@ -26,6 +27,8 @@ from treelight.llm.common import ascii_lower, text_of, written
 PREFIX_CHARS = 64
 #: Bits of a row of the bitmap (what bitmap_construct_agg makes), bits for each surviving key, and rows at most (32 MB in all).
 ROW_BITS, KEY_BITS, MOST_ROWS = 32768, 16, 8192
+#: From how many rows on a group is dealt in parts, and in how many.
+LARGE_GROUP, SALTS = 256, 64
 
 
 def _length(text: Column) -> Column:
@@ -40,10 +43,9 @@ def _digest(text: Column) -> Column:
     return F.sha2(ascii_lower(text), 256)
 
 
-def _surviving(heads: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """rows (with len, prefix) that share both with another row of heads, with few others; and those that certainly don't."""
-    keys = heads.groupBy("len", "prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.xxhash64("len", "prefix").alias("key"))
-    keys = written(keys, "shared-keys")
+def _split(rows: DataFrame, of_row: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key of_row is one of keys (key), with few others; and those whose key certainly isn't."""
+    keys = written(keys, "keys")
     n_rows = max(1, min(MOST_ROWS, -(-keys.count() * KEY_BITS // ROW_BITS)))
 
     def place(key: Column) -> tuple[Column, Column]:
@@ -52,25 +54,33 @@ def _surviving(heads: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]
 
     row, bit = place(F.col("key"))
     bits = F.broadcast(keys.groupBy(row.alias("bit_row")).agg(F.bitmap_construct_agg(bit).alias("bits")))
-    row, bit = place(F.xxhash64("len", "prefix"))
+    row, bit = place(of_row)
     byte = F.conv(F.hex(F.substring(F.col("bits"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     known = F.coalesce(F.getbit(byte.cast("long"), (bit % 8).cast("int")) == 1, F.lit(False))
     met = rows.join(bits, row == F.col("bit_row"), "left").withColumn("known", known).drop("bit_row", "bits")
     return met.where("known").drop("known"), met.where("not known").drop("known")
 
 
+def _surviving(heads: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows (with len, prefix) that share both with another row of heads, with few others; and those that certainly don't."""
+    key = F.xxhash64("len", "prefix")
+    return _split(rows, key, heads.groupBy("len", "prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key.alias("key")))
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).alias("id"), _length(text).alias("len"), _prefix(text, prefix_chars).alias("prefix"), _digest(text).alias("digest"))
     rows = written(rows, "digests")
     shared, alone = _surviving(rows, rows)
-    groups = (
-        shared.groupBy("len", "prefix", "digest")
-        .agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .where("group_size > 1")
-    )
-    shared = shared.join(groups, ["len", "prefix", "digest"], "left").select("id", "digest", "keep_id", "group_size")
+    found = shared.groupBy("len", "prefix", "digest").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = written(found.where("group_size > 1").select("digest", "keep_id", "group_size"), "groups")
+    # rows of large groups are dealt by salt, too, so that no task meets all of one
+    large = groups.where(F.col("group_size") > LARGE_GROUP)
+    crowded, others = _split(shared.select("id", "digest"), F.xxhash64("digest"), large.select(F.xxhash64("digest").alias("key")))
+    crowded = crowded.withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
+    salted = groups.join(crowded.select("digest").distinct(), "digest", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    shared = others.join(groups, "digest", "left").union(crowded.join(salted, ["digest", "salt"], "left").drop("salt")).select("id", "digest", "keep_id", "group_size")
     alone = alone.select("id", "digest", F.lit(None).cast(rows.schema["id"].dataType).alias("keep_id"), F.lit(None).cast("long").alias("group_size"))
     return shared.union(alone).select(
         F.col("id").alias("doc_id"),
