@@ -7,20 +7,22 @@ from treelight.functions.fold import extension, find, fold, fold_str, highlight,
 from treelight.plans.query import parse
 
 CASES = [
-    ("Report", "Q3 report final.docx", True),
-    ("a文", "xA文b.txt", True),
-    ("café", "CAFÉ notes.txt", True),
-    ("работа", "РАБОТА.txt", True),
-    ("*.docx", "Report.DOCX", True),
-    ("*.docx", "report.docx1", False),
-    ("a?c", "a中c", True),
-    ("a?c", "ac", False),
-    ("*", "", True),
-    ("a*b*c", "a-b-x-d", False),
-    ("*abc", "xabxabc", True),
-    ("文?件", "文中文件", False),
-    ("100%_!", "at 100%_! now", True),
-    ("*%_!?", "x%_!y", True),
+    ("Lake", "two lakeside huts", True),
+    ("z山", "Z山z", True),
+    ("über", "GRÜNÜBERALL", True),
+    ("мост", "Старый МОСТ", True),
+    ("*.Tsv", "rows.tsV", True),
+    ("*.tsv", "rows.tsv~", False),
+    ("h?t", "h山t", True),
+    ("h?t", "ht", False),
+    ("**", "", True),
+    ("p*q*r", "p.q.s", False),
+    ("*nan", "nanannan", True),
+    ("山?川", "山と川", True),
+    ("50%_!", "only 50%_! off", True),
+    ("*_%!?", "q_%!r", True),
+    ("ab*ba", "aba", False),
+    ("*mid*", "amidst", True),
 ]
 
 
@@ -64,14 +66,14 @@ def test_like_pattern():
 @pytest.mark.parametrize(
     ("q", "terms", "path_terms", "content", "drives"),
     [
-        ("report C: *.docx", 2, 0, [], ["c"]),
-        ("　全角空格　test", 2, 0, [], []),
-        ("*.docx content:预算", 1, 0, ["预算"], []),
-        ("Content:Q3", 0, 0, ["Q3"], []),
+        ("lake h: *.tsv", 2, 0, [], ["h"]),
+        ("\u3000山\u2003hut\u00a0", 2, 0, [], []),
+        ("*.tsv content:川", 1, 0, ["川"], []),
+        ("CONTENT:Plum", 0, 0, ["Plum"], []),
         ("content:", 1, 0, [], []),
-        (r"report sub\a.txt C:\work c:", 1, 2, [], ["c"]),
-        ("a/b", 0, 1, [], []),
-        ("a\x1cb", 1, 0, [], []),
+        (r"lake a\b.tsv H:\hut Z: h:", 1, 2, [], ["z", "h"]),
+        ("x/", 0, 1, [], []),
+        ("p\x1fq", 1, 0, [], []),
     ],
 )
 def test_parse(q, terms, path_terms, content, drives):
@@ -80,11 +82,11 @@ def test_parse(q, terms, path_terms, content, drives):
 
 
 def test_name_functions(spark):
-    row = spark.createDataFrame([("Q3 Report final", "项目文件夹.txt", "C:\\data\\App\\x.txt", ".bashrc", "plain")], "a string, b string, c string, d string, e string")
+    row = spark.createDataFrame([("Old Lake map", "山と川.tsv", "H:\\hut\\Roof\\y.tsv", ".profile", "bare")], "a string, b string, c string, d string, e string")
     got = row.select(
-        find(F.col("a"), "report"), find(F.col("b"), "文件夹"), find(F.col("a"), ""), find(F.col("a"), "zz"),
-        under_dir(F.col("c"), "c:\\DATA\\app"), under_dir(F.col("c"), "c:\\data\\ap"), under_dir(F.concat(F.lit("\\\\?\\"), "c"), "C:\\data\\"),
-        extension(F.col("d")), extension(F.col("e")), highlight(F.col("a"), "rep* content:FINAL"),
+        find(F.col("a"), "lake"), find(F.col("b"), "川"), find(F.col("a"), ""), find(F.col("a"), "zz"),
+        under_dir(F.col("c"), "h:\\HUT\\roof"), under_dir(F.col("c"), "h:\\hut\\roo"), under_dir(F.concat(F.lit("\\\\?\\"), "c"), "H:\\hut\\"),
+        extension(F.col("d")), extension(F.col("e")), highlight(F.col("a"), "la* content:MAP"),
     ).first()
-    assert tuple(got) == (3, 6, 0, None, True, False, True, "bashrc", "", "Q3 <mark>Rep</mark>ort <mark>final</mark>")
+    assert tuple(got) == (4, 6, 0, None, True, False, True, "profile", "", "Old <mark>La</mark>ke <mark>map</mark>")
     assert url_encode("a b/é") == "a%20b%2F%C3%A9"

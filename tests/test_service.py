@@ -7,15 +7,15 @@ from treelight.sources import snapshot
 
 
 def test_service(spark, make_tree):
-    e = make_tree([(1, 10, 5, "work", True), (2, 11, 10, "report.txt", False), (3, 12, 10, "other.txt", False)])
-    texts = spark.createDataFrame([("C", 2, "text", "the Q3 budget fox"), ("C", 3, "text", "nothing")], "drive string, slot long, status string, text string")
+    e = make_tree([(1, 10, 5, "work", True), (2, 11, 10, "harvest.txt", False), (3, 12, 10, "other.txt", False)])
+    texts = spark.createDataFrame([("C", 2, "text", "ripe plums in a bowl"), ("C", 3, "text", "nothing")], "drive string, slot long, status string, text string")
     n = Namespace(e, texts=texts)
     assert n.handle({"op": "ping"}) == {"ok": {"version": 1}}
     assert n.handle({"op": "status"})["ok"]["volumes"][0]["files"] == 4
     got = n.handle({"op": "search", "args": {"q": "*.txt", "sort": "bad"}})["ok"]
-    assert [r["path"] for r in got["results"]] == ["C:\\work\\report.txt", "C:\\work\\other.txt"]
-    got = n.handle({"op": "search", "args": {"q": "txt content:budget"}})["ok"]
-    assert (got["total_matched"], got["results"][0]["snippet"], got["content"]["scanned"]) == (1, "the Q3 budget fox", 2)
+    assert [r["path"] for r in got["results"]] == ["C:\\work\\harvest.txt", "C:\\work\\other.txt"]
+    got = n.handle({"op": "search", "args": {"q": "txt content:plums"}})["ok"]
+    assert (got["total_matched"], got["results"][0]["snippet"], got["content"]["scanned"]) == (1, "ripe plums in a bowl", 2)
     assert n.handle({"op": "search", "args": {"q": "  "}})["error"]["code"] == 1
     assert n.handle({"op": "nope"})["error"]["code"] == 1
     n.config = Config(content=ContentConfig(enabled=False))
@@ -41,8 +41,8 @@ def test_service_scans_files(spark, make_tree, tmp_path):
 def test_frames_and_config():
     data = frame({"op": "ping"}) + frame({"q": "é"})
     assert list(frames(data + b"\x05\0\0")) == [{"op": "ping"}, {"q": "é"}]
-    assert load_config("not toml [").max_limit == 1000
-    assert load_config("max_limit = 5\n[content]\nmax_concurrency = 99").content.max_concurrency == 16
+    assert load_config("= nothing").max_limit == 1000
+    assert load_config("poll_ms = 40\n[content]\ntimeout_ms = 7").content.timeout_ms == 100
 
 
 def test_snapshot(spark, make_tree, tmp_path):
