@@ -390,6 +390,17 @@ def test_stream_equals_whole():
         assert out + s.finish() == v.encode(data)
 
 
+def test_unbroken_texts_stream():
+    codec, library = bpe.Codec(VOCABULARY), Tokenizer.from_file(VOCABULARY)
+    n = 3 * bpe.SLICE_CHARS
+    for text in ("ab" * n, "x1-" * n, " " * n + "é" * n + "end of it", "\n" * 2 * n, "a b" + "語" * n):
+        lists = list(codec.encode(text))
+        ids = [t for part in lists for t in part]
+        assert ids == library.encode(text, add_special_tokens=False).ids
+        assert max(map(len, lists)) <= 4 * bpe.SLICE_CHARS < len(text.encode())
+        assert "".join(codec.decode(iter(lists))) == text
+
+
 def test_decoder_is_incremental():
     c = bpe.Codec(VOCABULARY, 64)
     ids = [i for p in c.encode("naïve 😀 文") for i in p]

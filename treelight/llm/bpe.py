@@ -15,9 +15,9 @@ window's encoding that ends that many bytes before the end of the window is fina
 Decoding. Token ids become bytes, bytes go through an incremental UTF-8 decoder which keeps at most three bytes between
 tokens; bytes that aren't UTF-8 become U+FFFD.
 
-Memory: a slice's tokens, a window and a cache of bounded size for each task, besides the row itself. A slice ends at white space, so a
-text without any is one slice, and its tokens are in memory together. Rows are encoded where
-they are; there's no shuffle.
+Memory: a slice's tokens, a window and a cache of bounded size for each task, besides the row itself. A slice ends at white space; one
+that finds none within twice its length goes piece by piece, and a long piece window by window, so its tokens aren't held together.
+Rows are encoded where they are; there's no shuffle.
 
 Defined results: a null text counts as the empty text, which has no tokens (digests are those of empty strings); the
 added token's string in a text is that token; repeated rows give equal rows; an empty table gives an empty result;
@@ -236,7 +236,22 @@ class Codec:
                 yield [self.vocabulary.added[part]]
                 continue
             for piece in self.slices(part):
-                yield list(chain.from_iterable(map(self.pieces.__getitem__, self.pattern.findall(piece))))
+                if len(piece) > 2 * SLICE_CHARS:
+                    yield from self.unbroken(piece)
+                else:
+                    yield list(chain.from_iterable(map(self.pieces.__getitem__, self.pattern.findall(piece))))
+
+    def unbroken(self, text: str) -> Iterator[list[int]]:
+        """The lists of a slice that white space couldn't shorten: a short piece each, or what a window of a long one settles."""
+        for m in self.pattern.finditer(text):
+            start, end = m.span()
+            if end - start <= CACHED_CHARS:
+                yield list(self.pieces[m.group()])
+                continue
+            stream = StreamingEncoder(self.vocabulary, self.lookahead)
+            for at in range(start, end, SLICE_CHARS):
+                yield list(stream.feed(text[at : min(at + SLICE_CHARS, end)].encode()))
+            yield stream.finish()
 
     def decode(self, ids: Iterator[list[int]]) -> Iterator[str]:
         """Text, as soon as its bytes are there."""
