@@ -1,7 +1,9 @@
 import json
 
+import duckdb
 import pytest
 
+import __spark_entry__ as entry
 from treelight.operators.replay import Volume, replay
 from treelight.sources import usn
 from treelight.streaming.changes import live_entries
@@ -49,6 +51,29 @@ def test_replay_and_stream_agree(spark, tmp_path):
     assert {tuple(r) for r in last.collect()} == want
 
 
+def test_long_journal_equals_sql(spark, tmp_path):
+    """More events than a batch once had, more waiting entries than a stream keeps: files of 110000 groups wait, half of the
+    directories come before event 500000, half after it, and new entries between and after them."""
+    con = duckdb.connect()
+    con.sql("""create view events as select i as event_id, case when i < 110000 then 5 * i + 1 when i < 440000 then 5 * (i % 1000) + 2
+          when i < 495000 then 10 * (i - 440000) when i < 505000 then 1000000 + 5 * i else 10 * (i - 505000) + 5 end as user_id,
+          case when i between 110000 and 439999 then 'view' else 'signup' end as event_type from range(560000) t(i)""")
+    con.sql(f"copy events to '{tmp_path}/events.parquet' (format parquet)")
+    got = entry.queries()["replay_live_set"](spark, str(tmp_path)).toArrow()
+    want = con.sql(entry.oracle_sql()["replay_live_set"]).to_arrow_table().select(got.column_names)
+    assert got.num_rows == 230001
+    assert got.sort_by("slot").to_pydict() == want.sort_by("slot").to_pydict()
+
+
+def test_bounds_of_a_stream_only():
+    rows = [("create", i, 9, "x", False) for i in range(100, 100_101)]
+    for bounded, dropped in ((True, 1), (False, 0)):
+        v = Volume("C", bounded=bounded)
+        v.apply(rows)
+        v.apply([("create", 9, 5, "dad", True)])
+        assert (v.dropped, len(v.nodes)) == (dropped, 100_003 - dropped)
+
+
 def test_records(spark):
     good = usn.pack((5 << 48) | 100, (5 << 48) | 5, 7, usn.REASON_CREATE, usn.ATTRIBUTE_DIRECTORY, "文件")
     meta = usn.pack(3, 5, 8, usn.REASON_CREATE, 0, "$x")

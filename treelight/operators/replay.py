@@ -4,8 +4,9 @@ Deleting a directory takes its subtree along, and ids can be used again, so a vo
 applied one after the other, volumes in parallel. A task reads its volumes' changes in Arrow batches, sorted by position, so its
 memory follows the live nodes, not the journal. The same class serves batch replay here and the streaming state.
 
-What waits is bounded as the contract has it (MOST_PENDING entries, MOST_TRIES batches, MOST_RENAMES ids); `dropped` counts what
-these bounds let go.
+A volume that lives on from batch to batch bounds what waits, as the contract has it (MOST_PENDING entries, MOST_TRIES batches,
+MOST_RENAMES ids); `dropped` counts what these bounds let go. A replay of a whole journal is one batch, at any length: nothing is
+tried before its end, and nothing is let go.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ SCHEMA = "drive string, slot bigint, frn bigint, parent_frn bigint, name string,
 class Volume:
     """Live nodes of one volume, and what waits: entries without a parent, ids between an old and a new name."""
 
-    def __init__(self, drive: str, state: str | None = None):
-        self.drive = drive
+    def __init__(self, drive: str, state: str | None = None, bounded: bool = True):
+        self.drive, self.bounded = drive, bounded
         if state is None:
             self.nodes: dict[int, list] = {ROOT_FRN: [0, None, f"{drive}:", True]}  # frn: slot, parent, name, is_dir
             self.next_slot, self.deleted, self.dropped = 1, 0, 0
@@ -101,7 +102,7 @@ class Volume:
             stack.extend(self.children.pop(x, ()))
 
     def _wait(self, frn: int, parent: int, name: str, is_dir: bool) -> None:
-        if len(self.pending) >= MOST_PENDING:
+        if self.bounded and len(self.pending) >= MOST_PENDING:
             self.dropped += 1
             return
         self.pending[self.next_place] = [frn, parent, name, is_dir, 0]
@@ -133,12 +134,12 @@ class Volume:
         for entry in self.pending.values():
             if not self.insert(*entry[:4]):
                 entry[4] += 1
-                if entry[4] < MOST_TRIES:
+                if entry[4] < MOST_TRIES or not self.bounded:
                     left.append(entry)
                 else:
                     self.dropped += 1
         self._set_pending(left)
-        if len(self.renames) > MOST_RENAMES:
+        if self.bounded and len(self.renames) > MOST_RENAMES:
             self.dropped += len(self.renames)
             self.renames.clear()
 
@@ -158,8 +159,9 @@ class Volume:
         return out
 
 
-def replay(events: DataFrame, batch_events: int = 500_000) -> DataFrame:
-    """The live entries after all events (drive, usn, op, frn, parent_frn, name, is_dir), read in batches of batch_events."""
+def replay(events: DataFrame, batch_events: int | None = None) -> DataFrame:
+    """The live entries after all events (drive, usn, op, frn, parent_frn, name, is_dir). A volume's whole journal is one batch
+    without bounds; with batch_events, batches end after so many events and keep the bounds, as in the stream."""
     columns = ["drive", "op", "frn", "parent_frn", "name", "is_dir"]
 
     def live(volume: Volume) -> Iterator[pa.RecordBatch]:
@@ -175,8 +177,8 @@ def replay(events: DataFrame, batch_events: int = 500_000) -> DataFrame:
                     if volume is not None:
                         volume.end_batch()
                         yield from live(volume)
-                    volume, n = Volume(drive), 0
-                elif n and n % batch_events == 0:
+                    volume, n = Volume(drive, bounded=batch_events is not None), 0
+                elif batch_events and n % batch_events == 0:
                     volume.end_batch()
                 volume.event(*event)
                 n += 1
