@@ -65,6 +65,14 @@ def test_long_journal_equals_sql(spark, tmp_path):
     assert got.sort_by("slot").to_pydict() == want.sort_by("slot").to_pydict()
 
 
+def test_journal_without_changes_equals_sql(spark, tmp_path):
+    con = duckdb.connect()
+    con.sql("create view events as select i as event_id, i as user_id, 'error' as event_type from range(3) t(i)")
+    con.sql(f"copy events to '{tmp_path}/events.parquet' (format parquet)")
+    got = entry.queries()["replay_live_set"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == con.sql(entry.oracle_sql()["replay_live_set"]).fetchall() == [("J", 0, 5, None, "J:", True)]
+
+
 def test_bounds_of_a_stream_only():
     rows = [("create", i, 9, "x", False) for i in range(100, 100_101)]
     for bounded, dropped in ((True, 1), (False, 0)):

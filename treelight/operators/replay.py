@@ -159,9 +159,10 @@ class Volume:
         return out
 
 
-def replay(events: DataFrame, batch_events: int | None = None) -> DataFrame:
+def replay(events: DataFrame, batch_events: int | None = None, drives: tuple[str, ...] = ()) -> DataFrame:
     """The live entries after all events (drive, usn, op, frn, parent_frn, name, is_dir). A volume's whole journal is one batch
-    without bounds; with batch_events, batches end after so many events and keep the bounds, as in the stream."""
+    without bounds; with batch_events, batches end after so many events and keep the bounds, as in the stream. The volumes of
+    drives have their root without events, too."""
     columns = ["drive", "op", "frn", "parent_frn", "name", "is_dir"]
 
     def live(volume: Volume) -> Iterator[pa.RecordBatch]:
@@ -178,15 +179,20 @@ def replay(events: DataFrame, batch_events: int | None = None) -> DataFrame:
                         volume.end_batch()
                         yield from live(volume)
                     volume, n = Volume(drive, bounded=batch_events is not None), 0
-                elif batch_events and n % batch_events == 0:
+                elif batch_events and n and n % batch_events == 0:
                     volume.end_batch()
-                volume.event(*event)
-                n += 1
+                if event[0] is not None:
+                    volume.event(*event)
+                    n += 1
         if volume is not None:
             volume.end_batch()
             yield from live(volume)
 
-    ordered = events.select("usn", *columns).repartition("drive").sortWithinPartitions("drive", "usn")
+    rows = events.select("usn", *columns)
+    if drives:
+        opened = events.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, drives))).alias("drive"))
+        rows = rows.unionByName(opened, allowMissingColumns=True)
+    ordered = rows.repartition("drive").sortWithinPartitions("drive", "usn")
     return ordered.select(*columns).mapInArrow(run, SCHEMA)
 
 

@@ -319,7 +319,7 @@ UNION ALL SELECT 'J', 0, 5, NULL, 'J:', true"""
 
 @_query("replay_live_set", _REPLAY)
 def replay_live_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replay.replay(volumes.journal(spark, sf_dir))
+    return replay.replay(volumes.journal(spark, sf_dir), drives=("J",))
 
 
 @_query("usn_decode")
